@@ -3,8 +3,9 @@
 The index holds, for each term, the test items (in segments of SEGMENT words at most) that have it, with the
 BM25 weight as a share of the segment's own full score, and the greatest weight in each block of BLOCK segments.
 Every window of 2 * SEGMENT words, a new one each SEGMENT words, is a query. As in block-max WAND a block is
-opened only where the sum of the maxima reaches the threshold: terms found in most blocks count with their
-overall maximum, the others with that of the block, for all windows of a run of documents at once. Opened
+opened only where the sum of the maxima reaches the threshold: terms found in many blocks count together, with
+their overall maxima but no more than any segment of the block has of them, the others each with its maximum
+in the block, for all windows of a run of documents at once. Opened
 blocks are scored in full, and all segments at or above the threshold are retrieved. A retrieved item is then
 verified on exact five-word shingles of its question and of its answer, the last sentence.
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import chunks, documents, flat, mix, sized, span_hashes
 
-SEGMENT, BLOCK, WIDTH = 64, 16, 5
-THRESHOLD, OVERLAP, PART_OVERLAP = 0.6, 0.8, 0.5
+SEGMENT, BLOCK, WIDTH = 64, 4, 5
+THRESHOLD, OVERLAP, PART_OVERLAP = 0.7, 0.8, 0.5
 K1, B = 1.2, 0.75
 #: Bytes of test items that one index holds; it is what a broadcast carries.
 PART_BYTES = 8 << 20
@@ -115,7 +116,9 @@ class Index:
         top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
         of = key // max(1, self.blocks)
         number = np.bincount(of, minlength=len(self.vocabulary))
-        self.common = number * 2 > self.blocks
+        self.common = number * 8 > self.blocks
+        shared = np.bincount(self.segment, weights=np.where(self.common[term], self.weight, 0.0), minlength=self.blocks * BLOCK)
+        self.shared_most = shared.reshape(-1, BLOCK).max(axis=1)
         rare = ~self.common[of]
         self.block, self.block_most = (key % max(1, self.blocks))[rare], top[rare]
         self.block_first = np.concatenate([[0], np.cumsum(np.where(self.common, 0, number))])
@@ -138,12 +141,14 @@ class Index:
         n = self.block_first[tr + 1] - self.block_first[tr]
         base = np.concatenate([[0], np.cumsum(n)])[:-1]
         place = np.repeat(self.block_first[tr] - base, n) + np.arange(int(n.sum()))
-        bound = np.bincount(np.repeat(ur, n) * self.blocks + self.block[place], weights=self.block_most[place], minlength=units * self.blocks).reshape(units, self.blocks) + flat_most[:, None]
+        bound = np.bincount(np.repeat(ur, n) * self.blocks + self.block[place], weights=self.block_most[place], minlength=units * self.blocks).reshape(units, self.blocks)
         same = np.zeros(units, bool)  # does the next unit belong to the same text
         same[:-1] = True
         same[unit_of_doc[1:][unit_of_doc[1:] > 0] - 1] = False
         window = bound.copy()
         window[:-1] += np.where(same[:-1, None], bound[1:], 0)
+        flat_most[:-1] += np.where(same[:-1], flat_most[1:], 0)
+        window += np.minimum(flat_most[:, None], self.shared_most)
         unit_doc = np.repeat(np.arange(docs), np.diff(unit_of_doc))
         edges = np.searchsorted(u, np.arange(units + 1))
         best: dict[tuple[int, int], float] = {}
