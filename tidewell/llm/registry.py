@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 #: Query name to module of this subpackage.
 MODULES = {
+    "op3_minhash": "minhash",
+    "op6_decontaminate": "decontaminate",
     "op7_bpe": "bpe",
 }
 
