@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 #: Query name to module of this subpackage.
 MODULES = {
+    "op1_langid": "langid",
     "op3_minhash": "minhash",
     "op6_decontaminate": "decontaminate",
     "op7_bpe": "bpe",
