@@ -10,6 +10,7 @@ from collections.abc import Callable
 MODULES = {
     "op1_langid": "langid",
     "op3_minhash": "minhash",
+    "op5_pii": "pii",
     "op6_decontaminate": "decontaminate",
     "op7_bpe": "bpe",
 }
