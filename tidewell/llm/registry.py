@@ -13,6 +13,7 @@ MODULES = {
     "op5_pii": "pii",
     "op6_decontaminate": "decontaminate",
     "op7_bpe": "bpe",
+    "op8_toxicity": "toxicity",
 }
 
 
