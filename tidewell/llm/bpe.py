@@ -216,29 +216,27 @@ def normalised(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-class Tokenizer:
-    """Encodes whole texts with a word-end vocabulary and decodes ids again."""
+class Encoder:
+    """Whole texts to ids: strings of special tokens are cut out, the rest goes through the cache of words."""
 
-    def __init__(self, path: str) -> None:
-        self.merges = Merges(path)
-        self.words = Words(self.merges.encode, attach_space=False)
-        self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.merges.special, key=len, reverse=True))) if self.merges.special else None
-        names = self.merges.tokens
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+    def __init__(self, words: Words, special: dict[str, int], normal: Callable[[str], str]) -> None:
+        self.words, self.special, self.normal = words, special, normal
+        self.pattern = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        marked = [k for k, t in enumerate(texts) if "<|" in t and self.special and self.special.search(t)]
+        """All ids, and how many each text has."""
+        marked = {k for k, t in enumerate(texts) if self.pattern and self.pattern.search(t)}
         if not marked:
-            return self.words.texts([normalised(t) for t in texts])
+            return self.words.texts([self.normal(t) for t in texts])
         parts, owner, fixed = [], [], []
         for k, t in enumerate(texts):
             at = 0
-            for m in self.special.finditer(t) if k in set(marked) else ():
-                parts += [normalised(t[at : m.start()]), ""]
+            for m in self.pattern.finditer(t) if k in marked else ():
+                parts += [self.normal(t[at : m.start()]), ""]
                 owner += [k, k]
-                fixed += [-1, self.merges.special[m[0]]]
+                fixed += [-1, self.special[m[0]]]
                 at = m.end()
-            parts.append(normalised(t[at:]))
+            parts.append(self.normal(t[at:]))
             owner.append(k)
             fixed.append(-1)
         ids, sizes = self.words.texts(parts)
@@ -248,6 +246,16 @@ class Tokenizer:
         sizes[fixed_at] = 1
         return ids, np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
 
+
+class Tokenizer(Encoder):
+    """Encodes whole texts with a word-end vocabulary and decodes ids again."""
+
+    def __init__(self, path: str) -> None:
+        self.merges = Merges(path)
+        super().__init__(Words(self.merges.encode, attach_space=False), self.merges.special, normalised)
+        names = self.merges.tokens
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+
     def decode(self, ids: np.ndarray) -> str:
         """Without a decoder of its own, a vocabulary's tokens are joined by single spaces."""
         return " ".join(map(self.names.__getitem__, ids.tolist()))

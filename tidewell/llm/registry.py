@@ -14,6 +14,7 @@ MODULES = {
     "op6_decontaminate": "decontaminate",
     "op7_bpe": "bpe",
     "op8_toxicity": "toxicity",
+    "op9_token_file": "tokenfile",
 }
 
 
