@@ -4,7 +4,8 @@ Each set of word shingles is thrown into the bins of its sketch in rounds: in th
 bin is hashed anew, in the next T rounds round T+j fills bin j, and a bin keeps the least value of the earliest
 round that reached it. So every coordinate fills, however small the set. Sets equal in full are one node. Nodes
 that share a band are candidates; each is first held against a leader of its bucket, then, where a bucket still
-spans several components, against all members of the others. Links are confirmed on full sets.
+spans several components, for a few turns against a random member of the largest, and at last against all
+members of the others, each pair once. Links are confirmed on full sets.
 
 Defined results: a null or wordless text has no shingles and no links; a text of fewer words than the width is
 one shingle; repeated rows fall together; rows of one doc_id with different texts are nodes of their own; rows
@@ -28,6 +29,8 @@ from tidewell.llm.common import chunks, documents, mix, shingles, sized, stored
 COORDINATES, BANDS = 128, 32
 #: Of 256 sketch bits, how many may differ: 5 standard deviations above what a similarity of 0.8 gives.
 BITS_APART = 57
+#: Turns in which open buckets are tried against random members before all remaining pairs are.
+TURNS = 3
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -148,20 +151,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = nodes.join(ids, "fp", "left_semi").select("fp", "rep")
     sets = stored(full_sets(docs, sized(wanted, 32), width), "sets")
     links = stored(confirmed(star, sets, percent), "links")
-    roots = components(links)
-    label = full.where("members > 2").join(roots, full.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    share = label.groupBy("key", "root").count()
-    most = share.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("most")).where("roots > 1").drop("roots")
-    open_ = stored(label.join(most, "key").join(nodes.select("fp", "n", "q"), "fp"), "open")
-    probe = open_.where("root <> most").select("key", *(F.col(c).alias(f"x{c}") for c in ("fp", "root", "n", "q")))
-    other = open_.select("key", *(F.col(c).alias(f"y{c}") for c in ("fp", "root", "most", "n", "q")))
-    # Of two probes the lesser one asks.
-    once = (F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("ymost")) | (F.col("xfp") < F.col("yfp")))
-    rest = probe.join(other, "key").where(once & alike("x", "y")).select(F.col("xfp").alias("a"), F.col("yfp").alias("b")).distinct()
-    seen = star.union(star.select("b", "a"))
-    more = stored(confirmed(stored(rest.join(seen, ["a", "b"], "left_anti"), "rest"), sets, percent), "more")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots, seen = components(links), star.union(star.select("b", "a"))
+    large = full.where("members > 2").select("key", "fp")
+    for turn in range(TURNS + 1):
+        label = large.join(roots, large.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        most = label.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("most"))
+        open_ = stored(label.join(most.where("roots > 1").drop("roots"), "key").join(nodes.select("fp", "n", "q", "bands"), "fp"), "open")
+        probe = open_.where("root <> most").select("key", *(F.col(c).alias(f"x{c}") for c in ("fp", "root", "n", "q", "bands")))
+        if turn < TURNS:  # against one random member of the bucket's largest component
+            one = open_.where("root = most").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key", F.lit(turn)).alias("h"), *(F.col(c).alias(f"y{c}") for c in ("fp", "root", "n", "q")))).alias("one"))
+            asked = probe.join(one.select("key", "one.*"), "key").where(alike("x", "y"))
+        else:  # all pairs of different components, each in the first bucket that it shares; of two probes the lesser one asks
+            other = open_.select("key", *(F.col(c).alias(f"y{c}") for c in ("fp", "root", "most", "n", "q", "bands")))
+            once = (F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("ymost")) | (F.col("xfp") < F.col("yfp")))
+            asked = probe.join(other, (probe.key == other.key) & once & alike("x", "y") & (F.array_intersect("xbands", "ybands")[0] == probe.key))
+        asked = asked.select(F.col("xfp").alias("a"), F.col("yfp").alias("b"), F.col("xroot").alias("ra"), F.col("yroot").alias("rb"))
+        asked = stored(asked.distinct().join(seen, ["a", "b"], "left_anti"), "asked")
+        if asked.isEmpty():
+            continue
+        found = asked.join(confirmed(asked.select("a", "b"), sets, percent), ["a", "b"])
+        merged = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        seen = seen.union(asked.select("a", "b")).union(asked.select("b", "a"))
+        moved = sized(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), 16)
+        roots = stored(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(merged), "roots")
     named = nodes.select("fp", "rep").join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stored(named.join(least, "root").select("fp", "component_id"), "named")
