@@ -15,6 +15,7 @@ MODULES = {
     "op7_bpe": "bpe",
     "op8_toxicity": "toxicity",
     "op9_token_file": "tokenfile",
+    "op10_secrets": "secrets",
 }
 
 
