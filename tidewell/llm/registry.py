@@ -9,7 +9,9 @@ from collections.abc import Callable
 #: Query name to module of this subpackage.
 MODULES = {
     "op1_langid": "langid",
+    "op2_token_rollup": "rollup",
     "op3_minhash": "minhash",
+    "op4_gif": "gif",
     "op5_pii": "pii",
     "op6_decontaminate": "decontaminate",
     "op7_bpe": "bpe",
@@ -29,4 +31,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """By convention a module's ORACLE is the SQL of its query."""
+    loaded = {name: importlib.import_module(f"tidewell.llm.{module}") for name, module in MODULES.items()}
+    return {name: m.ORACLE for name, m in loaded.items() if hasattr(m, "ORACLE")}
