@@ -5,7 +5,7 @@ bin is hashed anew, in the next T rounds round T+j fills bin j, and a bin keeps
 round that reached it. So every coordinate fills, however small the set. Sets equal in full are one node. Nodes
 that share a band are candidates; each is first held against a leader of its bucket, then, where a bucket still
 spans several components, for a few turns against a random member of the largest, and at last against all
-members of the others, each pair once. Links are confirmed on full sets.
+members of the others that an exact prefix filter leaves. Links are confirmed on full sets.
 
 Defined results: a null or wordless text has no shingles and no links; a text of fewer words than the width is
 one shingle; repeated rows fall together; rows of one doc_id with different texts are nodes of their own; rows
@@ -30,7 +30,7 @@ COORDINATES, BANDS = 128, 32
 #: Of 256 sketch bits, how many may differ: 5 standard deviations above what a similarity of 0.8 gives.
 BITS_APART = 57
 #: Turns in which open buckets are tried against random members before all remaining pairs are.
-TURNS = 3
+TURNS = 2
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -133,6 +133,27 @@ def alike(a: str, b: str) -> F.Column:
     return (apart <= BITS_APART) & (F.least(f"{a}n", f"{b}n") * 5 >= F.greatest(f"{a}n", f"{b}n") * 4)
 
 
+def sharing_prefix(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can reach the similarity, by an exact prefix filter.
+
+    In any one order of all shingles, two sets of n and m that are similar share one of the first
+    n - ceil(percent n / 100) + 1 and m - ceil(percent m / 100) + 1. With the rarest first, a copy that was
+    edited too much begins with shingles of its own. At the first shingle that two sets share, what is left of
+    the shorter rest must also suffice for the overlap. open_: fp, root, n, q, probe.
+    """
+    each = sets.join(open_.select("fp"), "fp", "left_semi").select("fp", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(shared, "s").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("ranked"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("ranked"))
+    head = F.slice("ranked", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
+    rows = stored(ranked.join(open_, "fp").select("fp", "root", "n", "q", "probe", (F.col("n") - F.size("ranked")).alias("own"), F.posexplode(head).alias("at", "t")).select("fp", "root", "n", "q", "probe", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), F.col("t.s").alias("s")), "prefixes")
+    x = rows.where("probe").select("s", *(F.col(c).alias(f"x{c}") for c in ("fp", "root", "n", "q", "rest")))
+    y = rows.select(F.col("s").alias("ys"), *(F.col(c).alias(f"y{c}") for c in ("fp", "root", "n", "q", "rest", "probe")))
+    enough = F.least("xrest", "yrest") * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    once = (F.col("xroot") != F.col("yroot")) & (~F.col("yprobe") | (F.col("xfp") < F.col("yfp")))
+    return x.join(y, (F.col("s") == F.col("ys")) & once & enough & alike("x", "y"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. percent: 80 or more."""
     if percent < 80:
@@ -156,15 +177,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     for turn in range(TURNS + 1):
         label = large.join(roots, large.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         most = label.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root"))["root"].alias("most"))
-        open_ = stored(label.join(most.where("roots > 1").drop("roots"), "key").join(nodes.select("fp", "n", "q", "bands"), "fp"), "open")
-        probe = open_.where("root <> most").select("key", *(F.col(c).alias(f"x{c}") for c in ("fp", "root", "n", "q", "bands")))
+        open_ = stored(label.join(most.where("roots > 1").drop("roots"), "key").join(nodes.select("fp", "n", "q"), "fp"), "open")
         if turn < TURNS:  # against one random member of the bucket's largest component
             one = open_.where("root = most").groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key", F.lit(turn)).alias("h"), *(F.col(c).alias(f"y{c}") for c in ("fp", "root", "n", "q")))).alias("one"))
+            probe = open_.where("root <> most").select("key", *(F.col(c).alias(f"x{c}") for c in ("fp", "root", "n", "q")))
             asked = probe.join(one.select("key", "one.*"), "key").where(alike("x", "y"))
-        else:  # all pairs of different components, each in the first bucket that it shares; of two probes the lesser one asks
-            other = open_.select("key", *(F.col(c).alias(f"y{c}") for c in ("fp", "root", "most", "n", "q", "bands")))
-            once = (F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("ymost")) | (F.col("xfp") < F.col("yfp")))
-            asked = probe.join(other, (probe.key == other.key) & once & alike("x", "y") & (F.array_intersect("xbands", "ybands")[0] == probe.key))
+        else:
+            asked = sharing_prefix(open_.groupBy("fp").agg(F.any_value("root").alias("root"), F.any_value("n").alias("n"), F.any_value("q").alias("q"), F.max(F.col("root") != F.col("most")).alias("probe")), sets, percent)
         asked = asked.select(F.col("xfp").alias("a"), F.col("yfp").alias("b"), F.col("xroot").alias("ra"), F.col("yroot").alias("rb"))
         asked = stored(asked.distinct().join(seen, ["a", "b"], "left_anti"), "asked")
         if asked.isEmpty():
