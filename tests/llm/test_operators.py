@@ -1,0 +1,381 @@
+"""The training-data operators against brute force, round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", "   ", "\n\t", "a", "<|endoftext|>x y<|startoftext|>", "it's we'll I'M x'd '' 's", "ΑΣ ΟΔΟΣ ΣΑΣ", "é ẞ ǅ 힣", "12 ٣٤ ½ x²", "日本語 😀😀 !!??", "a b\x85c\x1cd  ", "x" * 3000, "aaaa " * 400]
+
+
+def frame(spark, texts, extra=False):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("*", F.lit(1).alias("n"), F.lit("x").alias("fp"), F.lit(2).alias("_base"), F.lit(3).alias("score")) if extra else df
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+
+
+def texts_of(spark):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# 1
+def test_language_held_out_accuracy(spark):
+    from tidewell.llm.langid import op1_langid
+
+    rows = op1_langid(spark, SF).collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out and lang[r.doc_id]]
+    assert len(rows) == len(lang) and held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_probabilities_sum_to_one_and_odd_texts(spark):
+    from tidewell.llm import langid
+
+    train = spark.createDataFrame([("the cat sat on the mat and the hat", "en"), ("le chat est sur la table et le toit", "fr"), (None, "en"), ("x", None)], "text string, lang string")
+    model = langid.fit(train)
+    context = 20 << 12 | 8 << 6 | 5
+    p = np.exp(model.logs((context << 6 | np.arange(64)) & 0xFFFFFF))
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-3)
+    got = {r.doc_id: r for r in langid.predict(frame(spark, ODD, extra=True), model).collect()}
+    assert [got[i].lang_pred for i in range(4)] == ["und"] * 4 and got[4].lang_pred in ("en", "fr") and len(got) == len(ODD)
+    assert langid.fit(empty(spark)) is None and langid.predict(frame(spark, ["abc"]), None).first().lang_pred == "und"
+    assert langid.predict(empty(spark), model).count() == 0
+
+
+# 2
+def test_rollup_counts_each_batch_once(spark, tmp_path):
+    from tidewell.llm.rollup import Ledger
+
+    kind = "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long, n_docs long"
+    change = lambda *rows: spark.createDataFrame([(*r, 9) for r in rows], kind)
+    ledger = Ledger(spark, f"file://{tmp_path}/l")
+    assert ledger.totals().count() == 0
+    a = change(("s", "en", "v", "insert", 5, None), ("s", "en", "v", "insert", 5, None), (None, None, "v", "insert", None, None), ("s", "en", "v", "what", 7, 7))
+    assert ledger.commit(1, a) and not ledger.commit(1, a)
+    assert ledger.commit(2, change(("s", "en", "v", "revise", 3, 5), ("s", "en", "v", "delete", 5, None))) and ledger.commit(3, a.limit(0))
+    want = {("s", "en", "v", 1, 3), (None, None, "v", 1, 0)}
+    assert {tuple(r) for r in ledger.totals().collect()} == want
+    ledger.compact()
+    assert not ledger.commit(2, a) and {tuple(r) for r in ledger.totals().collect()} == want
+    ledger.commit(4, change(("s", "en", "v", "delete", 3, None)))
+    ledger.compact()
+    assert {tuple(r) for r in ledger.totals().collect()} == {(None, None, "v", 1, 0)}
+
+
+def test_rollup_sql(spark):
+    from tests.test_queries import agree
+
+    from tidewell.llm import registry
+
+    for name, sql in registry.oracle_sql().items():
+        agree(spark, name, registry.queries()[name], sql)
+
+
+# 3
+def shingle_set(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, width):
+    sets = [shingle_set(t, width) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return [(doc, len(s), least[find(i)] if s else doc) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def near_copy_texts(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(60)]
+    texts = []
+    for _ in range(120):  # near the threshold on both sides
+        w = base.copy()
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = word()
+        texts.append(" ".join(w))
+    passage = " ".join(word() for _ in range(9))
+    texts += [f"{passage} {word()} {word()}" for _ in range(60)] + ["same text here"] * 40 + [" ".join(word() for _ in range(30)) for _ in range(40)]
+    return texts + ["one", "One", "", None, " \t", "two words", "TWO\x0bwords"]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_against_all_pairs(spark, width):
+    from tidewell.llm.minhash import near_duplicates
+
+    rows = list(enumerate(near_copy_texts(width)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, [t for _, t in rows], extra=True), width).collect())
+    assert got == brute_components(rows, width)
+
+
+def test_near_duplicates_of_real_rows_and_none(spark):
+    from tidewell.llm.minhash import keep_one, near_duplicates, op3_minhash
+
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op3_minhash(spark, SF).collect())
+    assert got == sorted(brute_components(texts_of(spark), 2))
+    assert near_duplicates(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (5, "a b c"), (5, "q r s"), (6, None)], "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in near_duplicates(odd, 2).collect()) == sorted(map(str, [(None, 2, 5, False), (None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (6, 0, 6, True)]))
+    kept = keep_one(frame(spark, ["a b c d e f", "a b c d e f", "z"], extra=True)).collect()
+    assert [r.doc_id for r in kept] == [0, 2] and kept[0].fp == "x"
+
+
+def test_sketch_fills_and_estimates():
+    from tidewell.llm.minhash import EMPTY, sketches
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 50, 3000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n * 9 // 10], rng.integers(0, 2**63, n - n * 9 // 10, dtype=np.uint64)])
+        s = sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+        assert (s != EMPTY).all()
+        j = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+        assert abs((s[0] == s[1]).mean() - j) < 0.2
+
+
+# 4
+def test_gif_round_trips():
+    from tidewell.llm import gif
+
+    rng = random.Random(1)
+    for data in (b"", b"a", b"aaaaaaa" * 999, bytes(range(256)) * 30, rng.randbytes(60000), bytes(rng.choice(b"abc") for _ in range(90000))):
+        assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+        padded = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        assert b"".join(f["samples"] for f in gif.images(gif.encode(padded))) == padded
+    for size in (2, 3, 5):
+        data = bytes(rng.randrange(1 << size) for _ in range(9000))
+        assert gif.lzw_decode(gif.lzw_encode(data, size), size, len(data)) == data
+
+
+def test_gif_disposal_transparency_and_faults(spark):
+    from tidewell.llm import gif
+
+    def image(samples, box, disposal, clear=None, delay=7, lace=0):
+        control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (clear is not None), delay, clear or 0, 0)
+        return control + struct.pack("<BHHHHB", 0x2C, *box, lace) + b"\x02" + gif.blocks(gif.lzw_encode(bytes(samples), 2))
+
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x81, 0, 0) + palette
+    data = head + image([1, 1, 1, 1], (0, 0, 2, 2), 1) + image([2], (0, 0, 1, 1), 2) + image([3, 0], (0, 1, 2, 1), 3, clear=0) + image([2], (1, 1, 1, 1), 0) + b"\x3b"
+    red, green, blue, none = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255), (0, 0, 0, 0)
+    got = [(s, d, [tuple(map(int, p)) for p in c.reshape(-1, 4)]) for s, d, c in gif.decode(data)]
+    assert got == [(0, 7, [red] * 4), (7, 7, [green, red, red, red]), (14, 7, [none, red, blue, red]), (21, 7, [none, red, red, green])]
+    laced = head[:6] + struct.pack("<HHBBB", 1, 5, 0x81, 0, 0) + palette + image([0, 1, 2, 3, 1], (0, 0, 1, 5), 0, lace=0x40) + b"\x3b"
+    assert next(gif.images(laced))["samples"] == bytes([0, 3, 2, 1, 1])
+    df = spark.createDataFrame([(1, data), (2, data[:-30]), (3, None), (4, b"no")], "id long, m binary")
+    rows = gif.frames(df, "id", "m").collect()
+    assert collections.Counter(r.id for r in rows) == {1: 4, 2: 1, 4: 1} and all((r.error is None) == (r.id == 1) for r in rows)
+    assert abs(sum(rows[0].histogram) - 1) < 1e-9
+
+
+def test_gif_digests(spark):
+    from tidewell.llm import gif
+
+    for r in gif.digests(gif.store(frame(spark, ODD, extra=True))).collect():
+        raw = (ODD[r.doc_id] or "").encode()
+        padded = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        media = gif.encode(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert gif.digests(gif.store(empty(spark))).count() == 0
+
+
+# 5
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    from tidewell.llm.pii import luhn
+
+    out = []
+    for rank, (kind, pattern) in enumerate(PII.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 12 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+            if ok:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(k, a, z) for a, _, k, z in sorted(out)]
+
+
+def test_pii_base_against_the_patterns():
+    from tidewell.llm.pii import base_spans
+
+    rng = random.Random(1)
+    pieces = ["1", "2", "25", ".", ".", "@", "a", "b", "-", " ", "+", "(", ")", "_", "4111111111111111", "é", "x.y", "0", "9.9", "😀"]
+    for _ in range(20000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        assert base_spans(t) == brute_pii(t), t
+    assert base_spans("1" * 100_000 + "@" * 1000) == []
+
+
+def test_pii_terms_and_sanitising(spark):
+    from tidewell.llm import pii
+
+    rng = random.Random(2)
+    filler = lambda: " ".join(rng.choice(["alpha", "bravo", "delta", "gamma", "omega", "sigma"]) for _ in range(8))
+    texts = [f"{filler()} zephyrine {filler()[:11]} write to kim.lee@mail.example.org {filler()}" for _ in range(6)] + [filler() for _ in range(300)] + [f"{filler()} Zephyrine spoke"] + ["4111 1111 1111 1111 then +1 (262) 555-3752 at 10.0.0.1", None, ""]
+    df = frame(spark, texts).withColumn("extra", F.lit(1))
+    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert "[TERM]" in out[306].text and "ephyrine" not in out[306].text and "[EMAIL]" in out[0].text
+    assert out[307].text == "[CARD] then [PHONE] at [IP]" and out[308].text is None and out[50].text == texts[50] and out[0].extra == 1
+    for r in pii.digests(df).collect():
+        base = brute_pii(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in base).encode()).hexdigest()
+        assert (r.n_email, r.n_card) == (sum(k == "email" for k, _, _ in base), sum(k == "card" for k, _, _ in base))
+    assert pii.digests(empty(spark)).count() == 0 and pii.digests(frame(spark, ODD, extra=True)).count() == len(ODD)
+
+
+# 6
+def test_decontamination_against_every_item(spark):
+    from tidewell.llm.decontaminate import clean, op6_decontaminate, search
+
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    held = {(d, r.item_id) for r in items.collect() for d, t in texts_of(spark) if r.text in t}
+    got = {(r.doc_id, r.item_id) for r in op6_decontaminate(spark, SF).collect()}
+    assert held and held <= got and len(got - held) <= len(held) // 10
+    long = " ".join(f"w{i}" for i in range(200)) + ". The answer is forty two pears."
+    bench = spark.createDataFrame([(1, long), (2, "Who wrote it? Nobody knows who."), (3, None), (4, "")], "item_id long, text string")
+    docs = frame(spark, [f"pad {long} pad", long[: len(long) // 2], f"x WHO wrote it?? nobody knows who! y", *ODD], extra=True)
+    assert {(r.doc_id, r.item_id) for r in search(docs, bench).collect()} == {(0, 1), (2, 2)}
+    assert clean(docs, bench).count() == len(ODD) + 1
+    assert search(docs, bench.limit(0)).count() == 0 and search(empty(spark), bench).count() == 0
+
+
+# 7
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from tidewell.llm.bpe import digests, encode_column
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ODD + [t for _, t in texts_of(spark)]
+    ids = {r.doc_id: r for r in encode_column(frame(spark, texts, extra=True), path).collect()}
+    for r in digests(frame(spark, texts), path).collect():
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert ids[r.doc_id].token_ids == want and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    assert digests(empty(spark), path).count() == 0
+
+
+# 8
+def test_toxicity_held_out(spark):
+    from tidewell.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = toxicity.op8_toxicity(spark, sf).collect()
+    assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    pairs = [(a, b) for a, x in held if x == 1 for b, y in held if y == 0]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a, b in pairs]) > 0.75
+
+
+def test_toxicity_odd_cases(spark):
+    from tidewell.llm import toxicity
+
+    train = spark.createDataFrame([("you idiot", 1), ("nice day", 0), (None, 0), ("x", None)] * 40, "text string, toxic int")
+    model = toxicity.fit(train)
+    got = {r.doc_id: r.score for r in toxicity.scores(frame(spark, ["idiot", "nice day", *ODD], extra=True), model).collect()}
+    assert got[0] > got[1] and len(got) == len(ODD) + 2
+    assert toxicity.fit(train.limit(0))[2] == -30.0 and toxicity.scores(empty(spark), model).count() == 0
+    assert len(toxicity.fit(train, rows=10)[0]) >= 0
+
+
+# 9
+def test_token_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidewell.llm import tokenfile
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ODD + [t for _, t in texts_of(spark)]
+    folder = f"file://{tmp_path}/t"
+    shards = tokenfile.write(frame(spark, texts, extra=True), path, folder)
+    at, want, stream = 0, {}, []
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        want[i] = (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at, stream = at + len(ids), stream + ids
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read(spark, folder, shards).collect()}
+    assert got == want
+    first = tokenfile.Sequences(f"{folder}/shard-000000.ids.arrow")
+    assert first[0].tolist() == stream[: tokenfile.LENGTH] and not first[0].flags.owndata and len(first) > 0
+    none = f"file://{tmp_path}/none"
+    assert tokenfile.read(spark, none, tokenfile.write(empty(spark), path, none)).count() == 0
+
+
+def test_token_file_batches():
+    from tidewell.llm.tokenfile import Writer
+
+    sink = pa.BufferOutputStream()
+    w = Writer(sink, pa.uint16(), length=4, rows=2)
+    ids, ends = np.arange(21, dtype=np.uint32), np.arange(21) % 5 == 4
+    for a in range(0, 21, 3):
+        w.add(ids[a : a + 3], ends[a : a + 3])
+    w.close()
+    table = pa.ipc.open_stream(sink.getvalue()).read_all()
+    real = np.concatenate([np.array(x) for x in table["real"].to_pylist()])
+    assert np.concatenate(table["ids"].to_pylist())[real].tolist() == ids.tolist() and real.sum() == 21 and table.num_rows == 6
+    assert np.concatenate(table["end"].to_pylist())[real].tolist() == ends.tolist()
+
+
+# 10
+def test_secrets(spark):
+    from tidewell.llm.secrets import scan
+
+    patterns = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+    least = {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}
+    rng = random.Random(3)
+    pieces = ["token", "secret: ", "password=", "=", '"', "'", " ", "abc", "deadbeef", "0123456789ab", "AKIA", "ABCD1234", "é😀", "api_key", "APIKEY:", "x", "\n", "-_.", "zz9"]
+    key = "q7Xv2LmZt9RkPw4Jb6Yc8Hd3Nf5Gs1Ae"
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [f"plain words {key} and words"] + ["internationalization_of_words"] * 40 + ODD
+    got = {r.doc_id: r for r in scan(frame(spark, texts, extra=True)).collect()}
+    for i, t in enumerate(texts):
+        base = sorted((m.start(), rank, kind, m.end()) for rank, (kind, p) in enumerate(patterns) for m in re.finditer(p, t or "", re.A) if least[kind](m))
+        text = ",".join(f"{k}:{a}:{z}" for a, _, k, z in base)
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest(), t
+        assert set(text.split(",")) - {""} <= set(got[i].spans.split(","))
+    assert got[400].spans == f"random:12:{12 + len(key)}" and got[401].spans == ""
+    assert scan(empty(spark)).count() == 0
+
+
+# all stages
+def test_pipeline(spark, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "text", "token_ids"} <= set(rows.columns) and 100 < rows.count() <= 200
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("key", F.lit(1)).withColumn("s", F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert set(stage(spark, docs, SF).columns) == set(docs.columns)

@@ -145,7 +145,7 @@ class Index:
         same = np.zeros(units, bool)  # does the next unit belong to the same text
         same[:-1] = True
         same[unit_of_doc[1:][unit_of_doc[1:] > 0] - 1] = False
-        window = bound.copy()
+        window = bound.astype(float)
         window[:-1] += np.where(same[:-1, None], bound[1:], 0)
         flat_most[:-1] += np.where(same[:-1], flat_most[1:], 0)
         window += np.minimum(flat_most[:, None], self.shared_most)
@@ -207,7 +207,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a test item."""
     found = search(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(sized(found, 16), F.col("doc_id") == F.col("_held"), "left_anti")
+    return docs.join(sized(found, 16), docs["doc_id"] == found["_held"], "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

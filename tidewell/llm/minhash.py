@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents whose group keeps another one; copies of a kept row are one row."""
     out = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(sized(out, 16), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(sized(out, 16), docs["doc_id"] == out["_dropped"], "left_anti")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

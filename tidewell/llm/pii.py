@@ -189,23 +189,31 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     return stored(joined.where((p < 1) & (told >= share)).select("term").distinct(), "disclosing")
 
 
-def span_columns(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs with base (spans of the four kinds) and more (spans of terms), as text."""
-    return _term_passes(_with_base(docs), terms)
+def span_columns(docs: DataFrame, terms: DataFrame, base: str = "_base", more: str = "_more") -> DataFrame:
+    """docs with two more columns: spans of the four base kinds and spans of terms, as text."""
+    return _term_passes(_with_base(docs, base, more), terms, more)
 
 
-def _with_base(docs: DataFrame) -> DataFrame:
+def unused(columns: list[str], name: str) -> str:
+    """name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_base(docs: DataFrame, at: str, more_at: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             base = [shown(base_spans(x or "")) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, pa.string()), pa.array([""] * b.num_rows, pa.string())], [*b.schema.names, "_base", "_more"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, pa.string()), pa.array([""] * b.num_rows, pa.string())], [*b.schema.names, at, more_at])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_base", StringType()), StructField("_more", StringType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(at, StringType()), StructField(more_at, StringType())]))
 
 
-def _term_passes(df: DataFrame, terms: DataFrame) -> DataFrame:
+def _term_passes(df: DataFrame, terms: DataFrame, column: str) -> DataFrame:
     for keys in blocks(terms):
         if not len(keys):
             continue
@@ -213,11 +221,11 @@ def _term_passes(df: DataFrame, terms: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches, "text"):
-                more = [x.split(",") if x else [] for x in b.column("_more").to_pylist()]
+                more = [x.split(",") if x else [] for x in b.column(column).to_pylist()]
                 h, doc, starts, ends = letter_runs([x or "" for x in b.column("text").to_pylist()])
                 for k in np.flatnonzero(in_sorted(held.value, h.view(np.int64))).tolist():
                     more[doc[k]].append(f"term:{starts[k]}:{ends[k]}")
-                at = b.schema.get_field_index("_more")
+                at = b.schema.get_field_index(column)
                 yield b.set_column(at, b.schema.field(at), pa.array([",".join(sorted(x, key=lambda s: int(s.split(":")[1]))) for x in more], pa.string()))
 
         df = df.mapInArrow(run, schema)
@@ -232,12 +240,13 @@ def parsed(text: str) -> list[tuple[str, int, int]]:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by [KIND]."""
-    schema = docs.schema
+    schema, first = docs.schema, unused(docs.columns, "_base")
+    second = unused([*docs.columns, first], "_more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            for i, (base, more) in enumerate(zip(b.column("_base").to_pylist(), b.column("_more").to_pylist(), strict=True)):
+            for i, (base, more) in enumerate(zip(b.column(first).to_pylist(), b.column(second).to_pylist(), strict=True)):
                 spans = sorted(parsed(base) + parsed(more), key=lambda s: (s[1], KINDS.index(s[0])))
                 out, at = [], 0
                 for kind, a, z in spans:
@@ -248,9 +257,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
                     texts[i] = "".join(out) + texts[i][at:]
             at = b.schema.get_field_index("text")
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-            yield b.select([n for n in b.schema.names if n not in ("_base", "_more")])
+            yield b.select(list(range(len(b.schema.names) - 2)))
 
-    return span_columns(docs.drop("_base", "_more"), disclosing(docs)).mapInArrow(run, schema)
+    return span_columns(docs, disclosing(docs), first, second).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -265,6 +274,7 @@ def digests(docs: DataFrame) -> DataFrame:
             types = [*[pa.int64()] * 4, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"])
 
+    docs = docs.select("doc_id", "text")
     found = span_columns(docs, disclosing(docs)).select("doc_id", "_base", "_more")
     return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

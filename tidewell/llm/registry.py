@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 #: Query name to module of this subpackage.
@@ -22,12 +21,10 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    found = {name: getattr(importlib.import_module(f"tidewell.llm.{module}"), name) for name, module in MODULES.items()}
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
+    import corpus_pipeline
 
-        found["pipeline"] = corpus_pipeline.run
-    return found
+    found = {name: getattr(importlib.import_module(f"tidewell.llm.{module}"), name) for name, module in MODULES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
