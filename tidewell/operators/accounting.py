@@ -40,9 +40,9 @@ def running_account(changes: DataFrame, batch: Column) -> DataFrame:
 
 def histogram(samples: DataFrame, column: str) -> DataFrame:
     """bucket 0..11 and n, also where n is 0."""
-    counts = samples.agg(*(F.count_if(latency_bucket(F.col(column)) == k).alias(f"b{k}") for k in range(BUCKETS)))
-    pairs = F.array(*(F.struct(F.lit(k).alias("bucket"), F.col(f"b{k}").alias("n")) for k in range(BUCKETS)))
-    return counts.select(F.explode(pairs).alias("x")).select("x.*")
+    counts = samples.groupBy(latency_bucket(F.col(column)).alias("bucket")).agg(F.count("*").alias("n"))
+    every = samples.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def percentile(counts: list[Column], numerator: int, denominator: int) -> Column:
