@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, documents, flat, mix, sized, span_hashes
+from tidewell.llm.common import chunks, documents, flat, mix, sized, span_hashes, stored
 
 SEGMENT, BLOCK, WIDTH = 64, 4, 5
 THRESHOLD, OVERLAP, PART_OVERLAP = 0.7, 0.8, 0.5
@@ -206,7 +206,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a test item."""
-    found = search(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_held")).distinct()
+    found = stored(search(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_held")).distinct(), "held")
     return docs.join(sized(found, 16), docs["doc_id"] == found["_held"], "left_anti")
 
 

@@ -270,10 +270,10 @@ def accept(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def held_out(column: str = "doc_id", modulus: int = 5, remainder: int = 0) -> F.Column:
-    return F.crc32(F.col(column).cast("string")) % modulus == remainder
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(False))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    model = fit(docs.where(~held_out()))
+    model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
