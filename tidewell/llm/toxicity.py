@@ -111,7 +111,7 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarra
     sample = keyed.orderBy("h", "toxic").limit(rows).mapInArrow(run, "h long, toxic int, slots array<int>")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(y, np.asarray(s.values, np.int64)) for b in batches for y, s in zip(b.column("toxic").to_pylist(), b.column("slots"), strict=True)]
+        examples = [(y, np.asarray(s.values)) for b in batches for y, s in zip(b.column("toxic").to_pylist(), b.column("slots"), strict=True)]
         ones = sum(y for y, _ in examples)
         model = Ftrl()
         if 0 < ones < len(examples):
