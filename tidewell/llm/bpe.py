@@ -175,7 +175,14 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], self.NONE)
 
+    #: Words whose merge rounds run together; it bounds the flat arrays.
+    TOGETHER = 16_384
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._rounds(words[at : at + self.TOGETHER]) for at in range(0, len(words), self.TOGETHER)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         size = np.array([len(x) for x in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
