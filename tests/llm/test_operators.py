@@ -235,7 +235,7 @@ def test_pii_base_against_the_patterns():
     assert base_spans("1" * 100_000 + "@" * 1000) == []
 
 
-def test_pii_terms_and_sanitising(spark):
+def test_pii_terms_and_sanitising(spark, monkeypatch):
     from tidewell.llm import pii
 
     rng = random.Random(2)
@@ -249,6 +249,9 @@ def test_pii_terms_and_sanitising(spark):
         base = brute_pii(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in base).encode()).hexdigest()
         assert (r.n_email, r.n_card) == (sum(k == "email" for k, _, _ in base), sum(k == "card" for k, _, _ in base))
+    monkeypatch.setattr(pii, "TERMS_A_PASS", 0.5)  # each term a pass of its own
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()} == {k: r.text for k, r in out.items()}
+    monkeypatch.undo()
     assert pii.digests(empty(spark)).count() == 0 and pii.digests(frame(spark, ODD, extra=True)).count() == len(ODD)
 
 

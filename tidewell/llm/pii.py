@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,9 +189,35 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     return stored(joined.where((p < 1) & (told >= share)).select("term").distinct(), "disclosing")
 
 
-def span_columns(docs: DataFrame, terms: DataFrame, base: str = "_base", more: str = "_more") -> DataFrame:
-    """docs with two more columns: spans of the four base kinds and spans of terms, as text."""
-    return _term_passes(_with_base(docs, base, more), terms, more)
+def with_spans(docs: DataFrame, terms: DataFrame, finish: Callable, schema) -> DataFrame:
+    """finish(batch, base spans, term spans) of every batch of docs.
+
+    As long as one pass can carry all terms, patterns, terms and finish share one Python worker.
+    """
+    if terms.count() > TERMS_A_PASS * 0.75:
+        first = unused(docs.columns, "_base")
+        second = unused([*docs.columns, first], "_more")
+        marked = _term_passes(_with_base(docs, first, second), terms, second)
+
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                base, more = ([parsed(x) for x in b.column(c).to_pylist()] for c in (first, second))
+                yield finish(b.select(list(range(b.num_columns - 2))), base, more)
+
+        return marked.mapInArrow(last, schema)
+    held = docs.sparkSession.sparkContext.broadcast(next(blocks(terms)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            texts = [x or "" for x in b.column("text").to_pylist()]
+            more: list[list] = [[] for _ in texts]
+            if len(held.value):
+                h, doc, starts, ends = letter_runs(texts)
+                for k in np.flatnonzero(in_sorted(held.value, h.view(np.int64))).tolist():
+                    more[doc[k]].append(("term", int(starts[k]), int(ends[k])))
+            yield finish(b, [base_spans(t) for t in texts], more)
+
+    return docs.mapInArrow(run, schema)
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -238,45 +264,41 @@ def parsed(text: str) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in text.split(","))] if text else []
 
 
+def in_order(base: list, more: list) -> list[tuple[str, int, int]]:
+    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by [KIND]."""
-    schema, first = docs.schema, unused(docs.columns, "_base")
-    second = unused([*docs.columns, first], "_more")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, (base, more) in enumerate(zip(b.column(first).to_pylist(), b.column(second).to_pylist(), strict=True)):
-                spans = sorted(parsed(base) + parsed(more), key=lambda s: (s[1], KINDS.index(s[0])))
-                out, at = [], 0
-                for kind, a, z in spans:
-                    if a >= at:
-                        out += [texts[i][at:a], f"[{kind.upper()}]"]
-                    at = max(at, z)
-                if spans:
-                    texts[i] = "".join(out) + texts[i][at:]
-            at = b.schema.get_field_index("text")
-            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-            yield b.select(list(range(len(b.schema.names) - 2)))
+    def finish(b: pa.RecordBatch, base: list, more: list) -> pa.RecordBatch:
+        texts = b.column("text").to_pylist()
+        for i, spans in enumerate(map(in_order, base, more)):
+            out, at = [], 0
+            for kind, a, z in spans:
+                if a >= at:
+                    out += [texts[i][at:a], f"[{kind.upper()}]"]
+                at = max(at, z)
+            if spans:
+                texts[i] = "".join(out) + texts[i][at:]
+        at = b.schema.get_field_index("text")
+        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return span_columns(docs, disclosing(docs), first, second).mapInArrow(run, schema)
+    return with_spans(docs, disclosing(docs), finish, docs.schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for base, more in zip(b.column("_base").to_pylist(), b.column("_more").to_pylist(), strict=True):
-                kinds = [x.split(":")[0] for x in base.split(",")]
-                every = sorted(parsed(base) + parsed(more), key=lambda s: (s[1], KINDS.index(s[0])))
-                rows.append((*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(base.encode()).hexdigest(), shown(every)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [*[pa.int64()] * 4, pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"])
+    def finish(b: pa.RecordBatch, base: list, more: list) -> pa.RecordBatch:
+        rows = []
+        for own, terms in zip(base, more, strict=True):
+            kinds = [k for k, _, _ in own]
+            rows.append((*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(shown(own).encode()).hexdigest(), shown(in_order(own, terms))))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        types = [*[pa.int64()] * 4, pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"])
 
     docs = docs.select("doc_id", "text")
-    found = span_columns(docs, disclosing(docs)).select("doc_id", "_base", "_more")
-    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return with_spans(docs, disclosing(docs), finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
