@@ -255,6 +255,18 @@ def test_pii_terms_and_sanitising(spark, monkeypatch):
     assert pii.digests(empty(spark)).count() == 0 and pii.digests(frame(spark, ODD, extra=True)).count() == len(ODD)
 
 
+def test_pii_terms_of_rare_pairs(spark):
+    from tidewell.llm import pii
+
+    rng = random.Random(4)
+    filler = lambda n=8: " ".join(rng.choice(["alpha", "bravo", "delta", "gamma", "omega", "sigma"]) for _ in range(n))
+    texts = [f"Quillfeather {filler(60)} write to ann@mail.example.org {filler()} everywhere" for _ in range(5)]
+    texts += [f"Brontide and Solivane {filler(40)} bo@mail.example.org everywhere", f"{filler()} +1 (262) 555-3752 brontide"] + [f"{filler()} everywhere" for _ in range(1300)] + [f"so quillfeather {filler()}"]
+    got = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert got[0].startswith("[TERM] ") and got[1307].startswith("so [TERM] ")
+    assert got[5].startswith("Brontide [TERM] [TERM] ") and "everywhere" in got[5] and got[50] == texts[50]  # brontide stands as often with another
+
+
 # 6
 def test_decontamination_against_every_item(spark):
     from tidewell.llm.decontaminate import clean, op6_decontaminate, search

@@ -1,11 +1,12 @@
 """Personal data: exact patterns, and terms that disclose a protected entity by corpus co-occurrence.
 
-Base spans are the matches of four kinds of pattern. Each distinct matched value is a protected entity. For the
-words near its occurrences the corpus tells how strongly they reveal it: with p(e) and p(e|t) over all documents,
-the pointwise information that term t gives about entity e, log p(e|t)/p(e), is held against the information
-content of the entity itself, -log p(e). A term that gives SHARE of it or more, and does so in SUPPORT different
-surroundings (so that copies of one passage count once), is over the disclosure threshold and becomes a span of
-kind `term` wherever it occurs. sanitise() writes a placeholder of its kind over each span.
+Base spans are the matches of four kinds of pattern. Each distinct matched value is a protected entity. For all
+words of the documents that have it the corpus tells how strongly they reveal it: with p(e) and p(e|t) over all
+documents, the pointwise information that term t gives about entity e, log p(e|t)/p(e), is held against the
+information content of the entity itself, -log p(e). No pair is too rare to count: p(e|t) is smoothed towards p(e)
+as if PRIOR more document had been seen, and documents of the same words in the same order (copies) are one document there. A term
+that gives SHARE of the information or more is over the disclosure threshold and becomes a span of kind `term`
+wherever it occurs. sanitise() writes a placeholder of its kind over each span.
 
 Defined results: a null text is empty and has no spans; repeated rows give equal rows; an empty table gives an
 empty result. sanitise() keeps every other column, whatever its name. Overlapping spans are replaced as one.
@@ -28,8 +29,12 @@ from tidewell.llm.bpe import classes, code_values, once
 from tidewell.llm.common import chunks, documents, mix, sized, span_hashes, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR_WORDS, NEAR_CHARS, MIN_LETTERS = 6, 120, 3
-SUPPORT, SHARE = 3, 0.9
+MIN_LETTERS = 3
+SHARE, PRIOR = 0.9, 1.0
+#: Pairs of a term and an entity that one batch hands to Spark.
+PAIRS_A_BATCH = 1 << 17
+#: The most common words that are left out before pairs are formed; of further ones the pairs are dropped later.
+COMMON_TERMS = 1 << 19
 #: Term hashes that one pass over the documents carries; further ones take further passes.
 TERMS_A_PASS = 1 << 21
 
@@ -105,36 +110,52 @@ def entity(text: str, kind: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def surroundings(docs: DataFrame) -> DataFrame:
-    """term, entity, place: each word near an occurrence; place stands for all words of the surroundings.
+def with_entities(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[int], bytes]]:
+    """Distinct words outside base spans, entities, and all words in order, of each text that has an entity."""
+    found = [(t, s) for x in b.column("text").to_pylist() if (s := base_spans(t := x or ""))]
+    h, doc, starts, ends = letter_runs([t for t, _ in found])
+    first = np.searchsorted(doc, np.arange(len(found) + 1))
+    for k, (text, spans) in enumerate(found):
+        lo, hi = first[k], first[k + 1]
+        inside = np.zeros(hi - lo, bool)
+        for _, a, z in spans:
+            inside[np.searchsorted(ends[lo:hi], a, side="right") : np.searchsorted(starts[lo:hi], z)] = True
+        yield np.unique(h[lo:hi][~inside]).view(np.int64), sorted({entity(text[a:z], kind) for kind, a, z in spans}), h[lo:hi].tobytes()
 
-    A row with term 0 stands for each document (once) that has the entity; n is then 1, and n of a term's row is
-    1 for its first in the document.
+
+def occurring(docs: DataFrame) -> DataFrame:
+    """term or entity, n: in how many documents that have any entity it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            found = list(with_entities(b))
+            for k, lists in enumerate(([w for w, _, _ in found], [np.array(e, np.int64) for _, e, _ in found])):
+                key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_counts=True)
+                cols = [pa.array(key), pa.nulls(len(key), pa.int64())]
+                yield pa.RecordBatch.from_arrays([cols[k], cols[1 - k], pa.array(n.astype(np.int64))], ["term", "entity", "n"])
+
+    return docs.select("text").mapInArrow(run, "term long, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+
+
+def together(docs: DataFrame, without: np.ndarray) -> DataFrame:
+    """term, entity, place: each distinct word, but those of `without`, and entity of a document.
+
+    place stands for the whole sequence of its words.
     """
+    held = docs.sparkSession.sparkContext.broadcast(without)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            found = [(t, s) for t in texts if (s := base_spans(t))]
-            h, doc, starts, ends = letter_runs([t for t, _ in found])
-            first = np.searchsorted(doc, np.arange(len(found) + 1))
-            rows: list[tuple[int, int, int, int]] = []
-            for k, (text, spans) in enumerate(found):
-                lo, hi = first[k], first[k + 1]
-                once_in: set[tuple[int, int]] = set()
-                for kind, a, z in spans:
-                    e = entity(text[a:z], kind)
-                    i, j = lo + np.searchsorted(ends[lo:hi], a, side="right"), lo + np.searchsorted(starts[lo:hi], z)
-                    near = [x for x in range(max(lo, i - NEAR_WORDS), i) if a - starts[x] <= NEAR_CHARS] + [x for x in range(j, min(hi, j + NEAR_WORDS)) if ends[x] - z <= NEAR_CHARS]
-                    words = np.unique(h[near])
-                    place = int(mix(np.array([np.bitwise_xor.reduce(words) if len(words) else 0], np.uint64)).view(np.int64)[0])
-                    for t in [0, *words.view(np.int64).tolist()]:
-                        rows.append((t, e, place, int((t, e) not in once_in)))
-                        once_in.add((t, e))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["term", "entity", "place", "n"])
-
-    return docs.select("text").mapInArrow(run, "term long, entity long, place long, n long")
+            for words, entities, whole in with_entities(b):
+                words = words[~in_sorted(held.value, words)]
+                place = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
+                step = max(1, PAIRS_A_BATCH // max(1, len(words)))
+                for i in range(0, len(entities) if len(words) else 0, step):
+                    part = np.array(entities[i : i + step], np.int64)
+                    cols = np.tile(words, len(part)), np.repeat(part, len(words)), np.full(len(words) * len(part), place, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["term", "entity", "place"])
+
+    return docs.select("text").mapInArrow(run, "term long, entity long, place long")
 
 
 def blocks(terms: DataFrame) -> Iterator[np.ndarray]:
@@ -173,20 +194,24 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return out
 
 
-def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+def disclosing(docs: DataFrame, share: float = SHARE, prior: float = PRIOR) -> DataFrame:
     """The terms over the disclosure threshold."""
-    near = stored(surroundings(docs), "near")
-    places = near.where("term <> 0").groupBy("term", "entity", "place").agg(F.sum("n").alias("n"))
-    pairs = stored(places.groupBy("term", "entity").agg(F.count("*").alias("places"), F.sum("n").alias("both")).where(F.col("places") >= support), "pairs")
+    seen = stored(occurring(docs), "seen")
+    beside, known = seen.where("term is not null").select("term", F.col("n").alias("docs")), seen.where("entity is not null").select("entity", F.col("n").alias("has"))
+    p = F.col("has") / F.lit(docs.count())
+    least = F.pow(p, F.lit(1 - share))  # told >= share as a bound of p(e|t)
+    given = (F.col("places") * F.least(F.lit(1.0), F.col("both") / F.col("docs")) + prior * p) / (F.col("places") + prior)
+    over = (p < 1) & (given >= least)
+    # Words of more documents than any entity allows, even if all its documents had them, are left out early.
+    most = known.where(p < 1).agg(F.max(F.col("has") * F.col("has") / ((F.col("has") + prior) * least - prior * p))).first()[0] or 0.0
+    common = beside.where(F.col("docs") > most * (1 + 1e-9)).orderBy(F.desc("docs"), "term").limit(COMMON_TERMS).select("term").toArrow()["term"].to_numpy()
+    pairs = together(docs, np.sort(common)).groupBy("term", "entity", "place").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.count("*").alias("places"), F.sum("n").alias("both"))
+    # Terms are in no fewer documents than those that have an entity: what falls short there falls short of the whole.
+    pairs = stored(pairs.join(beside, "term").join(sized(known, 16), "entity").where(over).drop("docs"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term")
     terms = stored(pairs.select("term").distinct(), "terms")
-    known = near.where("term = 0").groupBy("entity").agg(F.sum("n").alias("has")).join(sized(pairs.select("entity").distinct(), 16), "entity", "left_semi")
-    joined = pairs.join(document_counts(docs, terms), "term").join(known, "entity")
-    n = docs.count()
-    p, given = F.col("has") / F.lit(n), F.least(F.lit(1.0), F.col("both") / F.col("docs"))
-    told = F.log(given / p) / -F.log(p)
-    return stored(joined.where((p < 1) & (told >= share)).select("term").distinct(), "disclosing")
+    return stored(pairs.join(document_counts(docs, terms), "term").where(over).select("term").distinct(), "disclosing")
 
 
 def with_spans(docs: DataFrame, terms: DataFrame, finish: Callable, schema) -> DataFrame:
