@@ -57,6 +57,21 @@ def test_language_probabilities_sum_to_one_and_odd_texts(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.33])
+def test_language_rejects_labelled_junk(spark, share):
+    from tidewell.llm import langid
+
+    clean = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and length(text) between 200 and 2000").orderBy("doc_id").limit(1500).collect()]
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(40, 300))) for _ in range(int(len(clean) * share / (1 - share)))]
+    docs = frame(spark, clean + junk).withColumn("lang", F.lit("en"))
+    model = langid.fit(docs)
+    kept = [r.doc_id for r in langid.accept(docs, model).collect()]
+    assert sum(i >= len(clean) for i in kept) <= 0.02 * len(junk) and sum(i < len(clean) for i in kept) >= 0.98 * len(clean)
+    lone = frame(spark, [junk[0] + " " + " ".join(junk[:30]) * 9, clean[0] * 99])  # of lengths that no training text has
+    assert np.isfinite(model.limits).all() and [r.doc_id for r in langid.accept(lone, model).collect()] == [1]
+
+
 # 2
 def test_rollup_counts_each_batch_once(spark, tmp_path):
     from tidewell.llm.rollup import Ledger

@@ -4,9 +4,12 @@ Letters become 63 symbols (a-z by themselves, all others hashed), everything els
 the counts of all four-symbol codes of all training texts are summed by Spark; continuation counts, totals and
 discounts of the lower orders follow from them. The models of orders 2 to 4 stand in sorted hash arrays, one key
 array for all languages with one column of discounted mass and of back-off weight for each. A text goes to the
-language of the lowest cross-entropy per symbol. The score is a posterior whose temperature is fitted on all
-training texts; a text is rejected where its entropy lies far above what texts of its length in that language
-have.
+language of the lowest cross-entropy per symbol. The score is a posterior whose temperature is fitted on a fold of
+the training texts that a model of the other folds has not seen (on all, where the fold has under FOLD_ROWS). A text
+is rejected where its entropy lies far above what texts of its length in that language have there: above the median
+by DEVIATIONS times the distance from the 16 % quantile to the median. Junk lies on the upper side, so that a third
+of it moves both but little. A length with under ENOUGH texts takes in its neighbours, and a language with none at
+all takes the texts of all languages.
 
 Size: a table of order k has 64^k keys at most, and order 4 is hashed to 2^20, so 1.4 million keys bound what is
 collected and broadcast, 12 bytes for each and language.
@@ -33,8 +36,10 @@ BITS, HASH_BITS = 6, 20
 SPREAD = 2654435761
 #: Temperatures among which the calibration chooses.
 HEAT = np.array([0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4])
-#: A text is rejected beyond its language's mean entropy by this many deviations, and by this many nats at least.
+#: A text is rejected beyond its language's median entropy by this many deviations, and by this many nats at least.
 DEVIATIONS, NATS = 6.0, 0.6
+#: Calibration: one in FOLDS texts is held out; entropies are counted in steps of 1 / STEPS nats.
+FOLDS, FOLD_ROWS, ENOUGH, STEPS = 5, 200, 30, 100
 
 
 def symbols() -> np.ndarray:
@@ -107,7 +112,7 @@ class Model:
     def __init__(self, langs: list[str], quads: pa.Table, contexts: pa.Table, triples: pa.Table) -> None:
         self.langs, n = langs, len(langs)
         self.base = np.zeros((1 << BITS, n))
-        self.keys, self.mass, self.gap_keys, self.gap, self.heat, self.limits = {}, {}, {}, {}, 1.0, {}
+        self.keys, self.mass, self.gap_keys, self.gap, self.heat, self.limits = {}, {}, {}, {}, 1.0, np.full((n, 64), np.inf)
         index = {x: i for i, x in enumerate(langs)}
 
         def column(t: pa.Table, *names: str):
@@ -183,10 +188,48 @@ def posterior(h: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(train: DataFrame) -> Model | None:
-    """train: text, lang; rows without either are left out."""
-    train = train.select("text", "lang").where("text is not null and lang is not null")
-    table = stored(counts(train), "codes")
+def robust(counted: list[dict[int, int]]) -> tuple[float, float]:
+    """Median, and its distance from the 16 % quantile, of counted steps."""
+    bins: dict[int, int] = {}
+    for one in counted:
+        for x, n in one.items():
+            bins[x] = bins.get(x, 0) + n
+    x = np.array(sorted(bins))
+    run = np.cumsum([bins[i] for i in x.tolist()])
+    low, middle = ((x[np.searchsorted(run, q * run[-1])] + 0.5) / STEPS for q in (0.16, 0.5))
+    return middle, middle - low
+
+
+def limits(seen: dict[int, dict[int, int]], langs: int) -> np.ndarray:
+    """The entropy limit of each language and log2 length, from counts of entropies in steps, by language * 64 + log2."""
+    out = np.full((langs, 64), np.inf)
+    every: dict[int, dict[int, int]] = {}
+    for k, bins in seen.items():
+        for x, n in bins.items():
+            every.setdefault(k % 64, {})[x] = every.get(k % 64, {}).get(x, 0) + n
+    for lang in range(langs):
+        own = {k % 64: bins for k, bins in seen.items() if k // 64 == lang} or every
+        if not own:
+            continue
+        # A length that is mostly junk doesn't set its own limit: no limit lies above that of all lengths together.
+        middle, spread = robust(list(own.values()))
+        common, run = sorted(own), np.cumsum([sum(own[s].values()) for s in sorted(own)])
+        usual = common[np.searchsorted(run, run[-1] / 2)]
+        for size in range(64):
+            near: list[dict[int, int]] = []
+            for far in sorted({abs(s - size) for s in own}):
+                near += [own[s] for s in {size - far, size + far} & own.keys()]
+                if sum(sum(x.values()) for x in near) >= ENOUGH:
+                    break
+            m, d = robust(near)
+            # Shorter texts than those at hand spread the wider.
+            here, cap = (max(NATS, DEVIATIONS * x) * 2 ** (max(0, y - size) / 2) for x, y in ((d, min(own)), (spread, usual)))
+            out[lang, size] = min(m + here, middle + cap)
+    return out
+
+
+def model_of(table: DataFrame) -> Model | None:
+    """table: lang, code, n."""
     langs = [r.lang for r in table.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
@@ -197,34 +240,49 @@ def fit(train: DataFrame) -> Model | None:
     quads = quads.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "code"))["code"].alias("code"))
     contexts = table.groupBy("lang", F.shiftright(code, BITS).alias("code")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
     triples = table.groupBy("lang", code.bitwiseAND(F.lit((1 << 3 * BITS) - 1)).alias("code")).agg(F.count("*").alias("types"))
-    model = Model(langs, quads.toArrow(), contexts.toArrow(), triples.toArrow())
-    held = train.sparkSession.sparkContext.broadcast(model)
+    return Model(langs, quads.toArrow(), contexts.toArrow(), triples.toArrow())
+
+
+def fit(train: DataFrame) -> Model | None:
+    """train: text, lang; rows without either are left out."""
+    train = train.select("text", "lang").where("text is not null and lang is not null")
+    apart = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0  # copies of a text are on one side
+    table = stored(counts(train.where(~apart)), "codes")
+    unseen = train.where(apart)
+    held_back = model_of(table)
+    model = model_of(stored(table.union(counts(unseen)).groupBy("lang", "code").agg(F.sum("n").alias("n")), "codes"))
+    if model is None:
+        return None
+    if held_back is None or unseen.count() < FOLD_ROWS:
+        held_back, unseen = model, train
+    held = train.sparkSession.sparkContext.broadcast(held_back)
+    places = np.array([model.langs.index(x) for x in held_back.langs], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sums, loss = held.value, {}, np.zeros(len(HEAT))
         index = {x: i for i, x in enumerate(model.langs)}
         for b in chunks(batches, "text"):
             h, n = model.entropies(b.column("text").to_pylist())
-            true = np.array([index[x] for x in b.column("lang").to_pylist()], np.int64)
-            some = n > 0
+            true = np.array([index.get(x, -1) for x in b.column("lang").to_pylist()], np.int64)
+            some = (n > 0) & (true >= 0)
             h, n, true = h[some], n[some], true[some]
             at = np.arange(len(n))
             loss += [-np.log(np.maximum(posterior(h, n, t)[at, true], 1e-9)).sum() for t in HEAT]
-            own, size = h[at, true], np.log2(np.maximum(n, 1)).astype(np.int64)
-            for k in np.unique(true * 64 + size).tolist():
-                x = own[true * 64 + size == k]
-                old = sums.get(k, (0, 0.0, 0.0))
-                sums[k] = (old[0] + len(x), old[1] + float(x.sum()), old[2] + float((x * x).sum()))
-        rows = [(-1 - i, 1, float(x), 0.0) for i, x in enumerate(loss)] + [(k, *v) for k, v in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["k", "n", "x", "xx"])
-
-    rows = train.mapInArrow(run, "k long, n long, x double, xx double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx")).collect()
+            size = np.log2(np.maximum(n, 1)).astype(np.int64)
+            key = (places[true] * 64 + size) << 16 | (h[at, true] * STEPS).astype(np.int64)
+            for k, c in zip(*(x.tolist() for x in np.unique(key, return_counts=True)), strict=True):
+                sums[k] = sums.get(k, 0) + c
+        rows = [(-1 - i, 1, float(x)) for i, x in enumerate(loss)] + [(k, c, 0.0) for k, c in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["k", "n", "x"])
+
+    rows = unseen.mapInArrow(run, "k long, n long, x double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
     loss = {-1 - r.k: r.x for r in rows if r.k < 0}
     model.heat = float(HEAT[min(loss, key=loss.get)])
+    seen: dict[int, dict[int, int]] = {}
     for r in rows:
         if r.k >= 0:
-            mean = r.x / r.n
-            model.limits[r.k] = mean + max(NATS, DEVIATIONS * max(0.0, r.xx / r.n - mean * mean) ** 0.5)
+            seen.setdefault(r.k >> 16, {})[r.k & 0xFFFF] = r.n
+    model.limits = limits(seen, len(model.langs))
     return model
 
 
@@ -245,8 +303,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 entropy = np.where(some, h.min(axis=1), 0.0)
                 score = np.where(some, posterior(h, n, model.heat).max(axis=1), 0.0)
                 size = np.log2(np.maximum(n, 1)).astype(np.int64)
-                limit = np.array([model.limits.get(k, np.inf) for k in (best * 64 + size).tolist()])
-                rejected = ~some | (entropy > limit)
+                rejected = ~some | (entropy > model.limits[best, size])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
@@ -262,8 +319,7 @@ def accept(docs: DataFrame, model: Model | None) -> DataFrame:
             if model is None:
                 continue
             h, n = model.entropies([x or "" for x in b.column("text").to_pylist()])
-            k = h.argmin(axis=1) * 64 + np.log2(np.maximum(n, 1)).astype(np.int64)
-            limit = np.array([model.limits.get(x, np.inf) for x in k.tolist()])
+            limit = model.limits[h.argmin(axis=1), np.log2(np.maximum(n, 1)).astype(np.int64)]
             yield b.filter(pa.array((n > 0) & (h.min(axis=1) <= limit)))
 
     return docs.mapInArrow(run, schema)
