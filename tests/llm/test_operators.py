@@ -72,6 +72,26 @@ def test_language_rejects_labelled_junk(spark, share):
     assert np.isfinite(model.limits).all() and [r.doc_id for r in langid.accept(lone, model).collect()] == [1]
 
 
+def test_language_tables_are_exact_and_in_parts(spark, monkeypatch):
+    from tidewell.llm import langid
+
+    rng = random.Random(6)
+    cyrillic, hangul, far = (lambda a, n: lambda: "".join(chr(a + rng.randrange(n)) for _ in range(6)))(0x430, 32), lambda: "".join(chr(0xAC00 + rng.randrange(900)) for _ in range(5)), lambda: "".join(chr(0x10400 + 40 + rng.randrange(30)) for _ in range(4))
+    rows = [(" ".join(w() for _ in range(40)), lang) for lang, w in (("ru", cyrillic), ("ko", hangul), ("xx", far)) for _ in range(60)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit(train)
+    want = [r for r in langid.predict(frame(spark, [t for t, _ in rows[::9]]), model).orderBy("doc_id").collect()]
+    code, _ = langid.codes([rows[0][0]], model.ids, model.bits)
+    last = np.arange(len(model.raw), dtype=np.uint64)
+    p = np.exp(model.logs(code[20] >> np.uint64(model.bits) << np.uint64(model.bits) | last))
+    assert model.parts == 1 and len(model.raw) > 900 and np.allclose(p.sum(axis=0), 1, atol=1e-3)
+    assert [r.lang_pred for r in want] == [x for _, x in rows[::9]]
+    monkeypatch.setattr(langid, "PART_BYTES", 400_000)
+    again = langid.fit(train)
+    got = langid.predict(frame(spark, [t for t, _ in rows[::9]]), again).orderBy("doc_id").collect()
+    assert again.parts > 1 and [r.lang_pred for r in got] == [r.lang_pred for r in want] and np.allclose([r.entropy for r in got], [r.entropy for r in want])
+
+
 # 2
 def test_rollup_counts_each_batch_once(spark, tmp_path):
     from tidewell.llm.rollup import Ledger

@@ -1,9 +1,9 @@
 """Language ID by interpolated Kneser-Ney character models.
 
-Letters become 63 symbols (a-z by themselves, all others hashed), everything else a word gap. For each language
-the counts of all four-symbol codes of all training texts are summed by Spark; continuation counts, totals and
-discounts of the lower orders follow from them. The models of orders 2 to 4 stand in sorted hash arrays, one key
-array for all languages with one column of discounted mass and of back-off weight for each. A text goes to the
+Each letter, case folded, is a symbol (its UTF-16 units, so that all fit in 16 bits), everything else a word gap.
+For each language the counts of all four-symbol codes of all training texts are summed by Spark; continuation
+counts, totals and discounts of the lower orders follow from them. The models of orders 2 to 4 stand in sorted arrays
+of exact keys, one key array for all languages with one column of discounted mass and of back-off weight for each. A text goes to the
 language of the lowest cross-entropy per symbol. The score is a posterior whose temperature is fitted on a fold of
 the training texts that a model of the other folds has not seen (on all, where the fold has under FOLD_ROWS). A text
 is rejected where its entropy lies far above what texts of its length in that language have there: above the median
@@ -11,8 +11,9 @@ by DEVIATIONS times the distance from the 16 % quantile to the median. Junk lies
 of it moves both but little. A length with under ENOUGH texts takes in its neighbours, and a language with none at
 all takes the texts of all languages.
 
-Size: a table of order k has 64^k keys at most, and order 4 is hashed to 2^20, so 1.4 million keys bound what is
-collected and broadcast, 12 bytes for each and language.
+Size: the tables grow with the distinct codes seen. Orders 3 and 4 are cut into parts of about PART_BYTES by the two
+middle symbols of the code, which all tables that one code needs have in common; each part is collected, broadcast
+and used in a pass of its own over the texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled text all are
 `und`. Ties go to the language that sorts first. Repeated rows are predicted alike and count each as training
@@ -21,19 +22,22 @@ text. Columns other than doc_id, text and lang are not read; accept() hands them
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidewell.llm.bpe import L as LETTER
-from tidewell.llm.bpe import classes, code_values, once
+from tidewell.llm.bpe import classes, once
 from tidewell.llm.common import chunks, documents, stored
 
-BITS, HASH_BITS = 6, 20
-SPREAD = 2654435761
+#: Bits of a symbol in counted codes, and the least in a model's own.
+BITS, LEAST_BITS = 16, 6
+#: Bytes of orders 3 and 4 that one pass carries, and codes that a task counts before it hands them on.
+PART_BYTES, TASK_CODES = 32 << 20, 1 << 20
 #: Temperatures among which the calibration chooses.
 HEAT = np.array([0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4])
 #: A text is rejected beyond its language's median entropy by this many deviations, and by this many nats at least.
@@ -44,24 +48,24 @@ FOLDS, FOLD_ROWS, ENOUGH, STEPS = 5, 200, 30, 100
 
 def symbols() -> np.ndarray:
     def make():
-        folded = np.arange(0x110000, dtype=np.uint32)
+        out = np.arange(0x110000, dtype=np.uint32)
         for i in range(0x1E944):
             low = chr(i).lower()
             if len(low) == 1:
-                folded[i] = ord(low)
-        out = (27 + code_values()[folded] % np.uint64(37)).astype(np.uint8)
-        ascii_letter = (folded >= 97) & (folded <= 122)
-        out[ascii_letter] = (folded[ascii_letter] - 96).astype(np.uint8)
+                out[i] = ord(low)
         out[classes() != LETTER] = 0
         return out
 
     return once("symbols", make)
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The four-symbol code that ends at each letter or gap after a letter, and its text's index."""
+def codes(texts: list[str], ids: np.ndarray | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The four-symbol code that ends at each letter or gap after a letter, and its text's index.
+
+    ids are the symbols of UTF-16 units, if not the units themselves.
+    """
     joined = "".join("\n" + t for t in texts)
-    s = symbols()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+    s = symbols()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
     size = np.array([len(t) + 1 for t in texts], np.int64)
     doc = np.repeat(np.arange(len(texts)), size)
     first = np.zeros(len(s), bool)
@@ -69,117 +73,192 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = first | (s > 0)
     keep[1:] |= s[:-1] > 0
     s, doc, first = s[keep], doc[keep], first[keep]
+    far = s > 0xFFFF
+    if far.any():
+        twice = 1 + far
+        at = (np.cumsum(twice) - twice)[far]
+        high, low = 0xD800 + (s[far] - 0x10000 >> 10), 0xDC00 + (s[far] & 0x3FF)
+        s, doc, first = np.repeat(s, twice), np.repeat(doc, twice), np.repeat(first, twice)
+        s[at], s[at + 1] = high, low
+    if ids is not None:
+        s = ids[s]
+    s = s.astype(np.uint64)
     code = s.copy()
     for k in (1, 2, 3):
         back = np.zeros_like(s)
-        back[k:] = np.where(doc[k:] == doc[:-k], s[:-k], 0)
-        code |= back << (BITS * k)
+        back[k:] = np.where(doc[k:] == doc[:-k], s[:-k], np.uint64(0))
+        code |= back << np.uint64(bits * k)
     return code[~first], doc[~first]
 
 
-def hashed(code):
-    return (code * SPREAD & 0xFFFFFFFF) >> (32 - HASH_BITS)
-
-
 def counts(train: DataFrame) -> DataFrame:
     """lang, code, n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, (keys, sums) in held.items():
+                for at in range(0, len(keys), 100_000):
+                    k = keys[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(sums[at : at + 100_000])], ["lang", "code", "n"])
+            held.clear()
+
         for b in chunks(batches, "text"):
-            lang = np.array([names.setdefault(x, len(names)) for x in b.column("lang").to_pylist()], np.int64)
+            names, lang = np.unique(np.array(b.column("lang").to_pylist(), object), return_inverse=True)
             code, doc = codes(b.column("text").to_pylist())
-            k, n = np.unique(lang[doc] << 24 | code, return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
-        listed = pa.array(list(names), pa.string())
-        for at in range(0, len(keys), 100_000):
-            k = keys[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([listed.take(pa.array(k >> 24)), pa.array(k & 0xFFFFFF), pa.array(sums[at : at + 100_000])], ["lang", "code", "n"])
+            for i, name in enumerate(names.tolist()):
+                k, n = np.unique(code[lang[doc] == i], return_counts=True)
+                old, sums = held.get(name, (k[:0], n[:0]))
+                keys, back = np.unique(np.concatenate([old, k]), return_inverse=True)
+                held[name] = keys, np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
+            if sum(len(k) for k, _ in held.values()) > TASK_CODES:
+                yield from out()
+        yield from out()
 
     return train.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def discount(n: np.ndarray) -> float:
-    one, two = (n == 1).sum(), (n == 2).sum()
-    return float(one / (one + 2 * two)) if one else 0.5
+def discount(one: int, two: int) -> float:
+    return one / (one + 2 * two) if one else 0.5
+
+
+def part_of(middle, parts: int):
+    """The part of a code by its two middle symbols, as UTF-16 units; for columns and arrays."""
+    return middle % 65521 % parts
+
+
+def side_by_side(own: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of all languages, sorted, and a column of values for each language."""
+    keys = np.unique(np.concatenate([k for k, _ in own]))
+    values = np.full((len(keys), len(own)), missing, np.float32)
+    for i, (k, v) in enumerate(own):
+        values[np.searchsorted(keys, k), i] = v
+    return keys, values
+
+
+def tables(own: list[tuple[np.ndarray, np.ndarray]], discounts: list[float], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, discounted mass, contexts and back-off weight of one order, of distinct codes and counts by language."""
+    mass, gap = [], []
+    for (code, n), d in zip(own, discounts, strict=True):
+        context, back, kinds = np.unique(code >> np.uint64(bits), return_inverse=True, return_counts=True)
+        total = np.bincount(back, weights=n, minlength=len(context))
+        mass.append((code, np.maximum(n - d, 0) / total[back]))
+        gap.append((context, d * kinds / total))
+    return *side_by_side(mass, 0.0), *side_by_side(gap, 1.0)
+
+
+def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full((len(wanted), values.shape[1]), missing)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where((keys[at] == wanted)[:, None], values[at], missing)
 
 
 class Model:
-    """keys[k], mass[k]: by hash of an order-k code; gap_keys[k], gap[k]: back-off weight by its context."""
+    """Alphabet and orders 1 and 2; part(i) has orders 3 and 4 of the codes whose middle symbols belong to part i."""
 
-    def __init__(self, langs: list[str], quads: pa.Table, contexts: pa.Table, triples: pa.Table) -> None:
+    def __init__(self, langs: list[str], table: DataFrame) -> None:
+        """table: lang, code, n in Parquet."""
         self.langs, n = langs, len(langs)
-        self.base = np.zeros((1 << BITS, n))
-        self.keys, self.mass, self.gap_keys, self.gap, self.heat, self.limits = {}, {}, {}, {}, 1.0, np.full((n, 64), np.inf)
+        self.heat, self.limits, self.table, self.only = 1.0, np.full((n, 64), np.inf), table, None
         index = {x: i for i, x in enumerate(langs)}
-
-        def column(t: pa.Table, *names: str):
-            return [np.array([index[x] for x in t["lang"].to_pylist()], np.int64), *(t[c].to_numpy() for c in names)]
-
-        tri = np.zeros((n, 1 << 3 * BITS))
-        lang, code, types = column(triples, "code", "types")
-        tri[lang, code] = types
-        total = np.zeros((n, 1 << 3 * BITS))
-        kinds = np.zeros((n, 1 << 3 * BITS))
-        lang, code, t, k = column(contexts, "code", "total", "types")
-        total[lang, code], kinds[lang, code] = t, k
-        lang, key, code, c = column(quads, "key", "code", "n")
-        mass = np.zeros((n, 1 << HASH_BITS))
-        gamma = np.ones((n, 1 << 3 * BITS))
-        for i in range(n):
-            own = lang == i
-            d = discount(c[own])
-            mass[i, key[own]] = np.maximum(c[own] - d, 0) / total[i, code[own]]
-            np.divide(d * kinds[i], total[i], out=gamma[i], where=total[i] > 0)
-        self._keep(4, mass, gamma)
-        two = (tri.reshape(n, 1 << BITS, -1) > 0).sum(axis=1).astype(float)
-        for k, x in ((3, tri), (2, two)):
-            by = x.reshape(n, -1, 1 << BITS)
-            whole, some = by.sum(axis=2), (by > 0).sum(axis=2)
-            mass, gamma = np.zeros_like(by), np.ones_like(whole)
-            for i in range(n):
-                d = discount(x[i])
-                np.divide(np.maximum(by[i] - d, 0), whole[i][:, None], out=mass[i], where=whole[i][:, None] > 0)
-                np.divide(d * some[i], whole[i], out=gamma[i], where=whole[i] > 0)
-            self._keep(k, mass.reshape(n, -1), gamma)
-        one = (two.reshape(n, 1 << BITS, -1) > 0).sum(axis=1) + 1.0
-        self.base = (one / one.sum(axis=1, keepdims=True)).T
-
-    def _keep(self, order: int, mass: np.ndarray, gamma: np.ndarray) -> None:
-        used = np.flatnonzero(mass.any(axis=0))
-        self.keys[order], self.mass[order] = used.astype(np.int32), mass[:, used].T.astype(np.float32)
-        used = np.flatnonzero((gamma != 1).any(axis=0))
-        self.gap_keys[order], self.gap[order] = used.astype(np.int32), gamma[:, used].T.astype(np.float32)
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-        if not len(keys):
-            return np.full((len(wanted), values.shape[1]), missing)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], values[at], missing)
-
-    def logs(self, code: np.ndarray) -> np.ndarray:
+        code = F.col("code")
+        units = [r.u for r in table.select(code.bitwiseAND(F.lit(0xFFFF)).alias("u")).distinct().collect()]
+        # 0 is the gap, 1 to 26 are a-z; the last stands for every letter not seen.
+        self.raw = np.array([0, *range(97, 123), *sorted(set(units) - {0, *range(97, 123)}), 0xFFFF], np.int64)
+        self.ids = np.full(1 << BITS, len(self.raw) - 1, np.int64)
+        self.ids[self.raw] = np.arange(len(self.raw))
+        self.bits = max(LEAST_BITS, (len(self.raw) - 1).bit_length())
+        triples = table.groupBy("lang", code.bitwiseAND(F.lit((1 << 3 * BITS) - 1)).alias("code")).agg(F.count("*").alias("n"))
+        triples = stored(triples, "triples")
+        pairs = self.listed(triples.groupBy("lang", code.bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("code")).agg(F.count("*").alias("n")))
+        self.discounts = {2: [discount((x == 1).sum(), (x == 2).sum()) for _, x in pairs]}
+        size = 0
+        for k, t in ((3, triples), (4, table)):
+            self.discounts[k] = [0.5] * n
+            for r in t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"), F.count("*").alias("rows")).collect():
+                self.discounts[k][index[r.lang]] = discount(r.one, r.two)
+                size += r.rows * 2 * (8 + 4 * n)  # mass and back-off weight, if no language shared a key
+        self.parts = max(1, -(-size // PART_BYTES))
+        self.pairs = tables(pairs, self.discounts[2], self.bits)
+        one = np.zeros((1 << self.bits, n))
+        one[: len(self.raw)] = 1.0
+        for i, (x, _) in enumerate(pairs):
+            one[:, i] += np.bincount((x & np.uint64((1 << self.bits) - 1)).astype(np.int64), minlength=len(one))
+        self.base = one / one.sum(axis=0)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None, "only": None}
+
+    def listed(self, df: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Codes in the model's own symbols and counts of each language; df: lang, code, n."""
+        got = df.select("lang", "code", "n").toArrow()
+        code = got["code"].to_numpy().view(np.uint64)
+        own = np.zeros_like(code)
+        for k in range(4):
+            own |= self.ids[(code >> np.uint64(BITS * k) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.uint64) << np.uint64(self.bits * k)
+        lang = np.array(got["lang"].to_pylist(), object)
+        n = got["n"].to_numpy()
+        return [(own[lang == x], n[lang == x]) for x in self.langs]
+
+    def part(self, i: int) -> dict[int, tuple]:
+        if self.only is None or self.parts > 1:
+            middle = F.shiftrightunsigned("code", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+            quads = self.listed(self.table.where(part_of(middle, self.parts) == i) if self.parts > 1 else self.table)
+            triples = [np.unique(x & np.uint64((1 << 3 * self.bits) - 1), return_counts=True) for x, _ in quads]
+            self.only = {3: tables(triples, self.discounts[3], self.bits), 4: tables(quads, self.discounts[4], self.bits)}
+        return self.only
+
+    def logs(self, code: np.ndarray, part: dict[int, tuple] | None = None) -> np.ndarray:
         """log p of each code's last symbol after the three before it, for each language."""
-        p = self.base[code & 63]
-        for k in (2, 3, 4):
-            own = code & ((1 << BITS * k) - 1)
-            p = self._find(self.keys[k], self.mass[k], hashed(own) if k == 4 else own, 0.0) + self._find(self.gap_keys[k], self.gap[k], own >> BITS, 1.0) * p
+        code = code.astype(np.uint64)
+        p = self.base[(code & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+        for k, t in {2: self.pairs, **(part or self.part(0))}.items():
+            own = code & np.uint64((1 << self.bits * k) - 1)
+            p = find(*t[:2], own, 0.0) + find(*t[2:], own >> np.uint64(self.bits), 1.0) * p
         return np.log(np.maximum(p, 1e-12))
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol in each language, and the number of symbols (0: no letter)."""
-        code, doc = codes(texts)
+    def sums(self, texts: list[str], part: dict[int, tuple], i: int) -> tuple[np.ndarray, np.ndarray]:
+        """-log p of all symbols whose codes belong to part i, in each language, and the number of all symbols."""
+        code, doc = codes(texts, self.ids, self.bits)
         n = np.bincount(doc, minlength=len(texts))
-        place = once("places", lambda: np.zeros(1 << 4 * BITS, np.int32))
-        mark = np.zeros(1 << 4 * BITS, bool)
-        mark[code] = True
-        seen = np.flatnonzero(mark)
-        place[seen] = np.arange(len(seen), dtype=np.int32)
-        back, logs = place[code], self.logs(seen.astype(np.int64))
-        sums = np.stack([np.bincount(doc, weights=logs[back, i], minlength=len(texts)) for i in range(len(self.langs))], 1)
-        return -sums / np.maximum(n, 1)[:, None], n
+        seen, back = np.unique(code, return_inverse=True)
+        logs = np.zeros((len(seen), len(self.langs)))
+        b, c = (self.raw[(seen >> np.uint64(self.bits * k) & np.uint64((1 << self.bits) - 1)).astype(np.int64)] for k in (2, 1))
+        mine = part_of(b << BITS | c, self.parts) == i
+        logs[mine] = self.logs(seen[mine], part)
+        return -np.stack([np.bincount(doc, weights=logs[back, k], minlength=len(texts)) for k in range(len(self.langs))], 1), n
+
+
+def with_entropies(docs: DataFrame, model: Model, finish: Callable, schema) -> DataFrame:
+    """finish(batches of docs with the cross-entropy a symbol in each language and the number of symbols (0: no letter))."""
+    spark, column = docs.sparkSession, "_sums"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    held = spark.sparkContext.broadcast(model)
+    for i in range(model.parts):
+        part, last = spark.sparkContext.broadcast(model.part(i)), i == model.parts - 1
+
+        def run(batches: Iterator[pa.RecordBatch], part=part, i=i, last=last) -> Iterator[pa.RecordBatch]:
+            def each() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+                for b in chunks(batches, "text"):
+                    h, n = held.value.sums([x or "" for x in b.column("text").to_pylist()], part.value, i)
+                    if i:
+                        h = h + np.array(b.column(column).to_pylist()).reshape(h.shape)
+                        b = b.select([x for x in b.schema.names if x != column])
+                    yield b, h, n
+
+            if last:
+                yield from finish((b, h / np.maximum(n, 1)[:, None], n) for b, h, n in each())
+                return
+            for b, h, _ in each():
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h.tolist(), pa.list_(pa.float64()))], [*b.schema.names, column])
+
+        if last:
+            return docs.mapInArrow(run, schema)
+        fields = [f for f in docs.schema.fields if f.name != column]
+        docs = stored(docs.mapInArrow(run, StructType([*fields, StructField(column, ArrayType(DoubleType()))])), "sums")
 
 
 def posterior(h: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:
@@ -233,14 +312,7 @@ def model_of(table: DataFrame) -> Model | None:
     langs = [r.lang for r in table.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
-    code = F.col("code")
-    key = F.shiftright((code * F.lit(SPREAD)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - HASH_BITS)
-    quads = table.groupBy("lang", key.alias("key"), F.shiftright(code, BITS).alias("code")).agg(F.sum("n").alias("n"))
-    # Of codes with one hash the commonest context speaks for them all.
-    quads = quads.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "code"))["code"].alias("code"))
-    contexts = table.groupBy("lang", F.shiftright(code, BITS).alias("code")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-    triples = table.groupBy("lang", code.bitwiseAND(F.lit((1 << 3 * BITS) - 1)).alias("code")).agg(F.count("*").alias("types"))
-    return Model(langs, quads.toArrow(), contexts.toArrow(), triples.toArrow())
+    return Model(langs, table)
 
 
 def fit(train: DataFrame) -> Model | None:
@@ -255,14 +327,13 @@ def fit(train: DataFrame) -> Model | None:
         return None
     if held_back is None or unseen.count() < FOLD_ROWS:
         held_back, unseen = model, train
-    held = train.sparkSession.sparkContext.broadcast(held_back)
     places = np.array([model.langs.index(x) for x in held_back.langs], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, sums, loss = held.value, {}, np.zeros(len(HEAT))
-        index = {x: i for i, x in enumerate(model.langs)}
-        for b in chunks(batches, "text"):
-            h, n = model.entropies(b.column("text").to_pylist())
+    index = {x: i for i, x in enumerate(held_back.langs)}
+
+    def run(scored: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sums, loss = {}, np.zeros(len(HEAT))
+        for b, h, n in scored:
             true = np.array([index.get(x, -1) for x in b.column("lang").to_pylist()], np.int64)
             some = (n > 0) & (true >= 0)
             h, n, true = h[some], n[some], true[some]
@@ -275,7 +346,7 @@ def fit(train: DataFrame) -> Model | None:
         rows = [(-1 - i, 1, float(x)) for i, x in enumerate(loss)] + [(k, c, 0.0) for k, c in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["k", "n", "x"])
 
-    rows = unseen.mapInArrow(run, "k long, n long, x double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    rows = with_entropies(unseen, held_back, run, "k long, n long, x double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
     loss = {-1 - r.k: r.x for r in rows if r.k < 0}
     model.heat = float(HEAT[min(loss, key=loss.get)])
     seen: dict[int, dict[int, int]] = {}
@@ -288,41 +359,35 @@ def fit(train: DataFrame) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, entropy and rejected of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for b in chunks(batches, "text"):
-            rows = b.num_rows
-            lang, score, entropy, rejected = ["und"] * rows, np.zeros(rows), np.zeros(rows), np.ones(rows, bool)
-            if model is not None:
-                h, n = model.entropies([x or "" for x in b.column("text").to_pylist()])
-                best = h.argmin(axis=1)
-                some = n > 0
-                lang = [model.langs[i] if ok else "und" for i, ok in zip(best.tolist(), some.tolist(), strict=True)]
-                entropy = np.where(some, h.min(axis=1), 0.0)
-                score = np.where(some, posterior(h, n, model.heat).max(axis=1), 0.0)
-                size = np.log2(np.maximum(n, 1)).astype(np.int64)
-                rejected = ~some | (entropy > model.limits[best, size])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if model is None:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
+    langs, heat, limit = model.langs, model.heat, model.limits
+
+    def run(scored: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for b, h, n in scored:
+            best, some = h.argmin(axis=1), n > 0
+            lang = [langs[i] if ok else "und" for i, ok in zip(best.tolist(), some.tolist(), strict=True)]
+            entropy = np.where(some, h.min(axis=1), 0.0)
+            score = np.where(some, posterior(h, n, heat).max(axis=1), 0.0)
+            rejected = ~some | (entropy > limit[best, np.log2(np.maximum(n, 1)).astype(np.int64)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return with_entropies(docs, model, run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def accept(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs whose text is not rejected, all columns as they were."""
-    held, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    if model is None:
+        return docs.where(F.lit(False))
+    limits = model.limits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for b in chunks(batches, "text"):
-            if model is None:
-                continue
-            h, n = model.entropies([x or "" for x in b.column("text").to_pylist()])
-            limit = model.limits[h.argmin(axis=1), np.log2(np.maximum(n, 1)).astype(np.int64)]
+    def run(scored: Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for b, h, n in scored:
+            limit = limits[h.argmin(axis=1), np.log2(np.maximum(n, 1)).astype(np.int64)]
             yield b.filter(pa.array((n > 0) & (h.min(axis=1) <= limit)))
 
-    return docs.mapInArrow(run, schema)
+    return with_entropies(docs, model, run, docs.schema)
 
 
 def held_out(column: str = "doc_id", modulus: int = 5, remainder: int = 0) -> F.Column:
