@@ -360,6 +360,15 @@ def test_toxicity_odd_cases(spark):
     assert len(toxicity.fit(train, rows=10)[0]) >= 0
 
 
+def test_toxicity_sample_draws_copies_apart(spark):
+    from tidewell.llm import toxicity
+
+    for copied in ("same nice words", "one more nice day", "a third text", "the fourth of them"):
+        rows = [(i, copied if i % 3 else f"you idiot number {i}", 0 if i % 3 else 1) for i in range(900)]
+        slots, _, bias = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), rows=200)
+        assert len(slots) and -30 < bias < 30  # both classes are in the sample
+
+
 # 9
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer

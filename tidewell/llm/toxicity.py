@@ -3,7 +3,7 @@
 Features are words, their stems (the first bytes of a word, STEMS long), word pairs, and pairs with one or two
 words between, hashed to SLOTS places. The model is
 fitted in one sequence of examples, on a bounded sample of the labelled rows (TRAIN_ROWS of them, those of the
-least hashes of their text): each coordinate has its own learning rate, and L1 keeps most weights at zero. The
+least hashes of doc_id and text, so that copies of a text are drawn one by one): each coordinate has its own learning rate, and L1 keeps most weights at zero. The
 non-zero weights, SLOTS at most, are broadcast. An example of label 1 counts UP-fold at most, as
 it is the rarer one.
 
@@ -93,10 +93,9 @@ class Ftrl:
 
 
 def fit(train: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots and weights other than zero, and the bias; train: text, toxic."""
-    train = train.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("text")
-    keyed = train.withColumn("h", order)
+    """Slots and weights other than zero, and the bias; train: text, toxic and, so that copies are drawn apart, doc_id."""
+    order = F.xxhash64(*(c for c in ("doc_id", "text") if c in train.columns))
+    keyed = train.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), order.alias("h"))
     # The hash below which about `rows` rows lie, then exactly the least of those.
     total = keyed.count()
     if total > rows:
