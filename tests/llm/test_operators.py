@@ -318,6 +318,18 @@ def test_decontamination_against_every_item(spark):
     assert search(docs, bench.limit(0)).count() == 0 and search(empty(spark), bench).count() == 0
 
 
+def test_rows_are_dropped_one_by_one(spark):
+    from tidewell.llm.decontaminate import clean
+    from tidewell.llm.minhash import keep_one
+
+    item = "Who wrote it first? Nobody knows who."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, f"x {item} y"), (None, "clean"), (5, item), (5, "clean too")], "doc_id long, text string")
+    assert sorted(r.text for r in clean(docs, bench).collect()) == ["clean", "clean too"]
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "p q r s t u"), (5, "p q r s t u"), (5, "g h i j k l")], "doc_id long, text string")
+    assert sorted(r.text for r in keep_one(docs).collect()) == ["a b c d e f", "g h i j k l", "p q r s t u"]
+
+
 # 7
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, documents, flat, mix, sized, span_hashes, stored
+from tidewell.llm.common import chunks, documents, flat, mix, span_hashes
 
 SEGMENT, BLOCK, WIDTH = 64, 4, 5
 THRESHOLD, OVERLAP, PART_OVERLAP = 0.7, 0.8, 0.5
@@ -177,6 +177,19 @@ def parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield part
 
 
+def verified(index: Index, b: pa.RecordBatch) -> Iterator[tuple[int, int, float, float, float]]:
+    """Row, item_id, score, question_overlap and answer_overlap of every verified pair of a batch."""
+    data, offsets = flat(b.column("text"))
+    h, doc = terms(data, offsets)
+    for k, p, score in index.search(h, doc, b.num_rows):
+        item, q, a, wq, wa = index.parts[p]
+        own = h[np.searchsorted(doc, k) : np.searchsorted(doc, k, side="right")]
+        nq, na = (np.isin(x, runs(own, w)).sum() if len(x) else 0 for x, w in ((q, wq), (a, wa)))
+        in_q, in_a = nq / max(1, len(q)), (na / len(a)) if len(a) else 1.0
+        if nq + na >= OVERLAP * (len(q) + len(a)) and min(in_q, in_a) >= PART_OVERLAP:
+            yield k, item, score, float(in_q), float(in_a)
+
+
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of every verified pair."""
     spark, out = docs.sparkSession, None
@@ -186,16 +199,8 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value)
             for b in chunks(batches, "text"):
-                data, offsets = flat(b.column("text"))
-                h, doc = terms(data, offsets)
-                ids, rows = b.column("doc_id").to_pylist(), []
-                for k, p, score in index.search(h, doc, b.num_rows):
-                    item, q, a, wq, wa = index.parts[p]
-                    own = h[np.searchsorted(doc, k) : np.searchsorted(doc, k, side="right")]
-                    nq, na = (np.isin(x, runs(own, w)).sum() if len(x) else 0 for x, w in ((q, wq), (a, wa)))
-                    in_q, in_a = nq / max(1, len(q)), (na / len(a)) if len(a) else 1.0
-                    if nq + na >= OVERLAP * (len(q) + len(a)) and min(in_q, in_a) >= PART_OVERLAP:
-                        rows.append((ids[k], item, score, float(in_q), float(in_a)))
+                ids = b.column("doc_id").to_pylist()
+                rows = [(ids[k], *found) for k, *found in verified(index, b)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -205,9 +210,19 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a test item."""
-    found = stored(search(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_held")).distinct(), "held")
-    return docs.join(sized(found, 16), docs["doc_id"] == found["_held"], "left_anti")
+    """docs without the rows that hold a test item, whatever their doc_id."""
+    for part in parts(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Index(held.value)
+            for b in chunks(batches, "text"):
+                keep = np.ones(b.num_rows, bool)
+                keep[[k for k, *_ in verified(index, b)]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,9 +202,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose group keeps another one; copies of a kept row are one row."""
-    out = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(sized(out, 16), docs["doc_id"] == out["_dropped"], "left_anti")
+    """One row of each group of docs, that of the least doc_id; a row without doc_id only if the group has no other."""
+    at = "_row"
+    while at in {c.lower() for c in docs.columns}:
+        at += "_"
+    keyed = stored(docs.withColumn(at, F.monotonically_increasing_id()), "keyed")
+    groups = near_duplicates(keyed.select(F.col(at).alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias(at), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", at))[at]
+    kept = groups.join(keyed.select(at, "doc_id"), at).groupBy("component_id").agg(first.alias(at)).select(at)
+    return keyed.join(sized(kept, 16), at, "left_semi").select(*docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
