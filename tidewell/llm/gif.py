@@ -5,8 +5,8 @@ control (delay, disposal, transparent index), and gives composed RGBA frames wit
 8-bit samples losslessly as palette indices under a grey palette, in frames of WIDTH x HEIGHT at most.
 
 Defined results: payload of a null text is empty, padded like any other; equal texts give equal files. A stream
-that ends early, or codes beyond the table, raise ValueError; frames() turns that into a row with `error` set and
-no frames. Null media has neither. Only the named columns are read.
+that ends early, or codes beyond the table, raise ValueError; frames() gives the frames before it and then a row
+with `error` set. Null media has neither. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import once
-from tidewell.llm.common import chunks, documents, flat
+from tidewell.llm.common import chunks, documents, flat, once, released, stored
 
 UNIT, WIDTH, HEIGHT, DELAY = 192, 192, 4096, 4
 #: Colours per channel of a histogram column.
@@ -71,7 +70,7 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
     # A code's width follows from how many codes stand between it and the clear code before it.
     starts = np.flatnonzero(codes == clear)
     since = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))) - 1
-    known = clear + 2 + np.maximum(since - 1, -1) + 1
+    known = clear + 2 + np.maximum(since - 1, 0)  # entries that a reader has then
     width = np.clip(np.ceil(np.log2(known + 0.5)).astype(np.int64), size + 1, 12)
     width[starts[1:]] = 12
     width[0] = size + 1
@@ -80,7 +79,7 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
 
 def code_widths(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Widths of the codes after a clear code, and the bits before each."""
-    known = (1 << size) + 2 + np.maximum(np.arange(1 << 12) - 1, -1) + 1
+    known = (1 << size) + 2 + np.maximum(np.arange(1 << 12) - 1, 0)
     grow = np.clip(np.ceil(np.log2(known + 0.5)).astype(np.int64), size + 1, 12)
     return grow, np.concatenate([[0], np.cumsum(grow)])
 
@@ -215,24 +214,27 @@ def images(data: bytes) -> Iterator[dict]:
             raise ValueError(f"block {kind} is unknown")
 
 
-def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Start and length in hundredths of a second, and the composed RGBA canvas of each frame."""
+def composed(found: Iterator[dict]) -> Iterator[tuple[dict, int, np.ndarray]]:
+    """Each stored frame with its start in hundredths of a second and the RGBA canvas that it leaves; the canvas is the next frame's too."""
     canvas, time = None, 0
-    for f in images(data):
+    for f in found:
         (w, h), (x, y, fw, fh) = f["screen"], f["box"]
         if canvas is None:
             canvas = np.zeros((max(h, y + fh), max(w, x + fw), 4), np.uint8)
         grown = max(canvas.shape[0], y + fh), max(canvas.shape[1], x + fw)
         if grown != canvas.shape[:2]:
             canvas = np.pad(canvas, ((0, grown[0] - canvas.shape[0]), (0, grown[1] - canvas.shape[1]), (0, 0)))
-        before = canvas.copy()
+        before = canvas.copy() if f["disposal"] == 3 else None
         index = np.frombuffer(f["samples"], np.uint8).reshape(fh, fw)
         palette = np.zeros((256, 4), np.uint8)
         colours = np.frombuffer(f["palette"], np.uint8).reshape(-1, 3)
         palette[: len(colours), :3], palette[:, 3] = colours, 255
-        drawn = np.ones(index.shape, bool) if f["clear"] is None else index != f["clear"]
-        canvas[y : y + fh, x : x + fw][drawn] = palette[index][drawn]
-        yield time, f["delay"], canvas.copy()
+        if f["clear"] is None:
+            canvas[y : y + fh, x : x + fw] = palette[index]
+        else:
+            drawn = index != f["clear"]
+            canvas[y : y + fh, x : x + fw][drawn] = palette[index][drawn]
+        yield f, time, canvas
         time += f["delay"]
         if f["disposal"] == 2:
             canvas[y : y + fh, x : x + fw] = 0
@@ -240,10 +242,26 @@ def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
             canvas = before
 
 
+def decode(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Start and length in hundredths of a second, and the composed RGBA canvas of each frame."""
+    for f, start, canvas in composed(images(data)):
+        yield start, f["delay"], canvas.copy()
+
+
+def colours(rgba: np.ndarray) -> np.ndarray:
+    """The number of pixels, those that are transparent left out, of each of BINS^3 colours."""
+    flat = rgba.reshape(-1, 4)
+    if not flat[:, 3].all():
+        flat = flat[flat[:, 3] > 0]
+    bins = flat[:, 0].astype(np.int32) * BINS // 256
+    for k in (1, 2):
+        bins = bins * BINS + flat[:, k].astype(np.int32) * BINS // 256
+    return np.bincount(bins, minlength=BINS**3)
+
+
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Share of each of BINS^3 colours among the pixels that aren't transparent."""
-    seen = rgba[rgba[..., 3] > 0][:, :3].astype(np.int64) * BINS // 256
-    n = np.bincount((seen[:, 0] * BINS + seen[:, 1]) * BINS + seen[:, 2], minlength=BINS**3)
+    n = colours(rgba)
     return n / max(1, n.sum())
 
 
@@ -251,27 +269,26 @@ def frames(media: DataFrame, key: str, column: str) -> DataFrame:
     """One row for each frame: key, frame, start_cs, delay_cs, width, height, rgba, histogram, error."""
     kind = media.schema[key].dataType.simpleString()
 
+    names = ["key", "frame", "start_cs", "delay_cs", "width", "height", "rgba", "histogram", "error"]
+    types = [*[pa.int64()] * 5, pa.binary(), pa.list_(pa.float64()), pa.string()]
+
+    def row(own: pa.Array, *values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([own, *(pa.array([v], t) for v, t in zip(values, types, strict=True))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "frame", "start_cs", "delay_cs", "width", "height", "rgba", "histogram", "error"]
-        types = [pa.int64()] * 5
         for b in batches:
             for k in range(b.num_rows):
                 own = b.column("key").slice(k, 1)
                 data = b.column("media")[k].as_py()
                 if data is None:
                     continue
-                rows: list[tuple] = []
-                try:
+                try:  # frame by frame, as each holds a whole canvas
                     for i, (start, delay, rgba) in enumerate(decode(data)):
-                        rows.append((i, start, delay, rgba.shape[1], rgba.shape[0], rgba.tobytes(), histogram(rgba).tolist(), None))
+                        yield row(own, i, start, delay, rgba.shape[1], rgba.shape[0], rgba.tobytes(), histogram(rgba).tolist(), None)
                 except ValueError as e:
-                    rows = [(*[None] * 7, str(e))]
-                if not rows:
-                    continue
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([own] * len(rows)), *(pa.array(c, t) for c, t in zip(cols, [*types, pa.binary(), pa.list_(pa.float64()), pa.string()], strict=True))], names)
+                    yield row(own, *[None] * 7, str(e))
 
-    out = media.select(F.col(key).alias("key"), F.col(column).alias("media")).mapInArrow(run, f"key {kind}, frame long, start_cs long, delay_cs long, width long, height long, rgba binary, histogram array<double>, error string")
+    out = media.select(F.col(key).alias("key"), F.col(column).alias("media")).mapInArrow(released(run), f"key {kind}, frame long, start_cs long, delay_cs long, width long, height long, rgba binary, histogram array<double>, error string")
     return out.withColumnRenamed("key", key)
 
 
@@ -287,7 +304,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media.append(encode(raw[a:z] + b" " * (max(UNIT, -(-(z - a) // UNIT) * UNIT) - (z - a))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_bytes long, media binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -297,26 +314,24 @@ def digests(media: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for m in b.column("media").to_pylist():
-                payload, times, tones = hashlib.sha256(), [], np.zeros(BINS, np.int64)
+                payload, delays, seen = hashlib.sha256(), [], np.zeros(BINS**3, np.int64)
                 total, tail = 0, b""
-                for f in images(m):
+                for f, _, canvas in composed(images(m)):
                     payload.update(f["samples"])
                     total += len(f["samples"])
                     tail = (tail + f["samples"][-16:])[-16:]
-                    times.append(f["delay"])
-                    # Under the file's own palette: red, green and blue tell the same of a grey.
-                    shade = np.frombuffer(f["palette"], np.uint8)[::3]
-                    tones += np.bincount(np.minimum(shade[np.frombuffer(f["samples"], np.uint8)].astype(np.int64) * BINS // 256, BINS - 1), minlength=BINS)
-                feature = f"gif:frames={len(times)}:cs={sum(times)}:tones=" + "/".join(map(str, tones.tolist()))
+                    delays.append(f["delay"])
+                    seen += colours(canvas[: f["box"][3]])
+                # Colours that occur, by number of their bin, summed over the frames as they are composed.
+                shown = ",".join(f"{i}:{seen[i]}" for i in np.flatnonzero(seen).tolist())
+                feature = f"gif:frames={len(delays)}:cs={sum(delays)}:colours={shown}"
                 rows.append((total, payload.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(released(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewell.llm.common import stored
-
     return digests(stored(store(documents(spark, sf_dir, "doc_id", "text")), "media"))
