@@ -27,6 +27,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 FDR, DECADES, LONGEST = 0.01, 40, 64
+#: Matches that are added up together.
+GROUP = 256
 #: Per encoding the number of letters, the index of coincidence of words and names in it (second
 #: and third moment of their letter frequencies), and how often their letter class changes.
 ENCODINGS = {"hex": (16, 0.100, 0.0125, 0.20), "base32": (32, 0.066, 0.0055, 0.10), "base64": (64, 0.066, 0.0055, 0.08)}
@@ -34,7 +36,11 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 
 
 def found(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Array of (start, kind, end, match) of all matches, those of `keep`(index) only."""
+    """Array of (start, kind, end, match) of all matches, those of `keep`(index) only.
+
+    Starts are running sums of the lengths between and of the matches, added up in groups of GROUP and then over the
+    groups, as an array that grows by one element is copied each time.
+    """
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     step = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), whole.alias("hit"), F.sequence(F.lit(0), F.size(gaps) - 1).alias("i"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
@@ -46,8 +52,18 @@ def found(text: Column, pattern: str, kind: int, keep=None) -> Column:
         wanted = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["i"])
         return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(F.size(gaps) < 2, empty).otherwise(F.aggregate(step, start, one, lambda acc: acc["spans"]))
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    number = F.ceil(F.size(gaps) / GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.aggregate(F.slice(step, k * GROUP + 1, F.lit(GROUP)), begin, one))
+
+    def place(acc: Column, g: Column) -> Column:
+        return F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
+
+    bases = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases")), place, lambda acc: acc["bases"])
+    moved = lambda s, base: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end"), s["match"].alias("match"))
+    many = F.flatten(F.zip_with(groups, bases, lambda g, base: F.transform(g["spans"], lambda s: moved(s, base))))
+    few = F.aggregate(step, begin, one, lambda acc: acc["spans"])
+    return F.when(F.size(gaps) < 2, empty).when(F.size(gaps) <= GROUP, few).otherwise(many)
 
 
 def upper_tail(z: Column) -> Column:
@@ -73,7 +89,9 @@ def battery(match: Column) -> Column:
     spread = size * (n - 1) * F.sqrt(4 * (third - ic * ic) / n + 2 * (ic - ic * ic) / (n * (n - 1)))
     even = (usual - chi) / spread
     classes = F.translate(body, LETTERS, "A" * 26 + "a" * 26 + "0" * 10 + "+" * 5)
-    runs = F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) - 1
+    # A single mark between letters, and a capital that begins a word, go with the word, as in names.
+    joined = F.regexp_replace(F.regexp_replace(classes, r"(?<=[Aa0])\+(?=[Aa0])", ""), "(^|[^A])A(?=a)", "$1a")
+    runs = F.length(F.regexp_replace(joined, r"(.)\1*", "$1")) - 1
     mixed = (runs - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
     value = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(LETTERS), c).cast("double"))
     mean = F.aggregate(value, F.lit(0.0), lambda s, v: s + v) / n
