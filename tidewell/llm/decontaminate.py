@@ -1,25 +1,28 @@
-"""Benchmark decontamination: a BM25 index of the test items, searched with block-max bounds by every passage.
-
-The index holds, for each term, the test items (in segments of SEGMENT words at most) that have it, with the
-BM25 weight as a share of the segment's own full score, and the greatest weight in each block of BLOCK segments.
-Every window of 2 * SEGMENT words, a new one each SEGMENT words, is a query. As in block-max WAND a block is
-opened only where the sum of the maxima reaches the threshold: terms found in many blocks count together, with
-their overall maxima but no more than any segment of the block has of them, the others each with its maximum
-in the block, for all windows of a run of documents at once. Opened
-blocks are scored in full, and all segments at or above the threshold are retrieved. A retrieved item is then
-verified on exact five-word shingles of its question and of its answer, the last sentence.
+"""Benchmark decontamination: a BM25 index of the test items, searched by every passage with block-max WAND.
+
+The index holds, for each term, the test items (in segments of SEGMENT words at most) that have it in ascending
+order, each with its BM25 weight as a share of the segment's own full score, the greatest weight of the list, and
+that of each block of BLOCK postings. Document frequencies and the mean length are those of all test items. Every
+window of 2 * SEGMENT words, a new one each SEGMENT words, is a query with a cursor in each of its terms' lists.
+In each turn the cursors are put in the order of their segments; the pivot is the segment at which the lists'
+maxima up to there reach the threshold. If the blocks that would hold the pivot reach it as well, cursors move
+to the pivot and it is scored in full; otherwise they skip to the end of the nearest block. Many windows take their
+turns together, in array operations; WINDOWS bounds how many. All segments at or above the threshold are
+retrieved. A retrieved item is then verified on exact five-word shingles of its question and of its answer, the
+last sentence: OVERLAP of all of them, and PART_OVERLAP of each part (of a part with fewer than 2 * WIDTH words,
+in which one edit leaves no shingle whole, PART_OVERLAP of its words).
 
 Defined results: a null or empty text, or a null or wordless item, is part of no pair; an item without a second
 sentence is all question; a part of fewer than five words is one shingle; repeated rows give repeated pairs of
 documents, and items of the same id count each for itself; empty tables give no pairs. Other columns are not
-read by search(); clean() hands them on untouched. Items beyond PART_BYTES are searched part after part.
+read by search(); clean() hands them on untouched, whatever their names, and decides row by row. Items beyond
+PART_BYTES are searched part after part, with the same weights. A text of any length is searched in memory that
+grows by a word hash a word.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,37 +30,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, documents, flat, mix, span_hashes
+from tidewell.llm.common import chunks, documents, flat, mix, released, span_hashes, stored
 
-SEGMENT, BLOCK, WIDTH = 64, 4, 5
+SEGMENT, BLOCK, WIDTH = 64, 8, 5
 THRESHOLD, OVERLAP, PART_OVERLAP = 0.7, 0.8, 0.5
 K1, B = 1.2, 0.75
-#: Bytes of test items that one index holds; it is what a broadcast carries.
+#: Bytes of test items that one index holds, about; it is what a broadcast carries.
 PART_BYTES = 8 << 20
+#: Windows that take their turns together, and bytes of text that are hashed together.
+WINDOWS, PIECE = 4096, 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SALT = mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of every run of letters, digits and non-ASCII bytes; A-Z count as a-z."""
-    inner = _LETTER[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    other = np.ones(len(data) + 1, bool)
-    other[1:] = ~inner
-    starts = np.flatnonzero(inner & (other[:-1] | edge[:-1]))
-    other[:-1], other[-1] = ~inner, True
-    ends = np.flatnonzero(inner & (other[1:] | edge[1:])) + 1
-    return span_hashes(_SALT[_FOLD[data]], starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+    hashes, owners, at = [], [], 0
+    while at < len(data):
+        to = min(len(data), at + PIECE)
+        if to < len(data):  # a piece ends behind a letter run
+            gap = np.flatnonzero(~_LETTER[data[to : to + PIECE]])
+            to = to + int(gap[0]) if len(gap) else len(data)
+        inner = _LETTER[data[at:to]]
+        edge = np.zeros(to - at + 1, bool)
+        edge[offsets[(offsets >= at) & (offsets <= to)] - at] = True
+        other = np.ones(to - at + 1, bool)
+        other[1:] = ~inner
+        starts = np.flatnonzero(inner & (other[:-1] | edge[:-1]))
+        other[:-1], other[-1] = ~inner, True
+        ends = np.flatnonzero(inner & (other[1:] | edge[1:])) + 1
+        hashes.append(span_hashes(_FOLD[data[at:to]], starts, ends))
+        owners.append((np.searchsorted(offsets, starts + at, side="right") - 1).astype(np.int32))
+        at = to
+    return (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, np.uint64), (owners, np.int32)))
 
 
 def text_terms(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    return terms(data, np.array([0, len(data)]))[0]
+    return next(iter(terms(data, np.array([0, len(data)]))))
 
 
 def runs(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -76,152 +89,226 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text[: at[-1]], text[at[-1] :]) if at else (text, "")
 
 
+def segments(text: str) -> list[np.ndarray]:
+    """The words of an item, in even stretches of SEGMENT at most."""
+    h = text_terms(text)
+    cut = -(-len(h) // SEGMENT)
+    return [h[len(h) * k // cut : len(h) * (k + 1) // cut] for k in range(cut)]
+
+
+class Part:
+    """A question or an answer: its five-word shingles, their width, and the units on which the part alone is held."""
+
+    def __init__(self, text: str) -> None:
+        h = text_terms(text)
+        self.width = min(WIDTH, len(h)) or WIDTH
+        self.shingles = np.unique(runs(h))
+        self.alone = 1 if len(h) < 2 * WIDTH else WIDTH
+        self.units = np.unique(runs(h, self.alone))
+
+
 class Index:
-    """Postings, block maxima and the shingles of questions and answers of one part of the test items."""
+    """Postings, list and block maxima, and questions and answers of one part of the test items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items, self.parts, bags = [], [], []
+    def __init__(self, items: list[tuple[int, str]], known: tuple[np.ndarray, np.ndarray], number: int, mean: float) -> None:
+        """known: sorted terms and in how many of all segments each is; number, mean: of all segments."""
+        self.items, bags, owner = [], [], []
         for item, text in items:
-            h = text_terms(text or "")
-            if not len(h):
+            cut = segments(text)
+            if not cut:
                 continue
-            q, a = (np.unique(runs(text_terms(x))) for x in question_and_answer(text))
-            if not len(q):
-                q, a = a, q
-            cut = -(-len(h) // SEGMENT)
-            for k in range(cut):
-                bags.append((len(self.parts), Counter(h[len(h) * k // cut : len(h) * (k + 1) // cut].tolist())))
-            self.parts.append((item, q, a, min(WIDTH, len(text_terms(question_and_answer(text)[0])) or WIDTH), min(WIDTH, len(text_terms(question_and_answer(text)[1])) or WIDTH)))
-        # Segments of like vocabulary share a block, so that its maxima say more: here simply the order of items.
-        df = Counter(t for _, bag in bags for t in bag)
-        mean = sum(sum(b.values()) for _, b in bags) / max(1, len(bags))
-        rows = []
-        for s, (_, bag) in enumerate(bags):
-            size = sum(bag.values())
-            own = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)) for t, tf in bag.items()}
-            total = sum(own.values())
-            rows += [(t, s, w / total) for t, w in own.items()]
-        self.owner = np.array([k for k, _ in bags], np.int64)
-        t = np.array([x[0] for x in rows], np.uint64)
-        order = np.lexsort((np.array([x[1] for x in rows], np.int64), t)) if rows else np.zeros(0, np.int64)
-        t = t[order]
-        self.segment = np.array([x[1] for x in rows], np.int64)[order]
-        self.weight = np.array([x[2] for x in rows], np.float64)[order]
-        self.vocabulary, first = np.unique(t, return_index=True)
-        self.first = np.append(first, len(t))
-        self.most = np.maximum.reduceat(self.weight, first) if len(t) else np.zeros(0)
-        term = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first))
-        self.blocks = -(-len(bags) // BLOCK)
-        key, at = np.unique(term * max(1, self.blocks) + self.segment // BLOCK, return_index=True)
-        top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
-        of = key // max(1, self.blocks)
-        number = np.bincount(of, minlength=len(self.vocabulary))
-        self.common = number * 8 > self.blocks
-        shared = np.bincount(self.segment, weights=np.where(self.common[term], self.weight, 0.0), minlength=self.blocks * BLOCK)
-        self.shared_most = shared.reshape(-1, BLOCK).max(axis=1)
-        rare = ~self.common[of]
-        self.block, self.block_most = (key % max(1, self.blocks))[rare], top[rare]
-        self.block_first = np.concatenate([[0], np.cumsum(np.where(self.common, 0, number))])
+            question, answer = map(Part, question_and_answer(text))
+            if not len(question.shingles):
+                question, answer = answer, question
+            owner += [len(self.items)] * len(cut)
+            bags += cut
+            self.items.append((item, question, answer))
+        self.owner, self.number = np.array(owner, np.int64), len(bags)
+        size = np.array([len(x) for x in bags], np.float64)
+        of = np.repeat(np.arange(len(bags)), size.astype(np.int64))
+        self.vocabulary, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *bags]), return_inverse=True)
+        wide = self.number + 1
+        self.key, tf = np.unique(term * wide + of, return_counts=True)
+        term, self.segment = self.key // wide, self.key % wide
+        df = known[1][np.searchsorted(known[0], self.vocabulary)] if len(self.vocabulary) else np.zeros(0)
+        idf = np.log(1 + (number - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.segment] / mean))
+        self.weight = weight / np.bincount(self.segment, weights=weight, minlength=self.number)[self.segment]
+        self.first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
+        count = np.diff(self.first)
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(term) else np.zeros(0)
+        blocks = -(-count // BLOCK)
+        self.block_first = np.concatenate([[0], np.cumsum(blocks)])
+        nth = np.arange(self.block_first[-1]) - np.repeat(self.block_first[:-1], blocks)
+        begin = np.repeat(self.first[:-1], blocks) + nth * BLOCK
+        last = np.minimum(begin + BLOCK, np.repeat(self.first[1:], blocks)) - 1
+        self.block_most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.block_last, self.block_key = self.segment[last], self.key[last]
 
     def search(self, h: np.ndarray, doc: np.ndarray, docs: int) -> Iterator[tuple[int, int, float]]:
-        """Text index, place in self.parts and score of all that reach THRESHOLD, the best of each pair."""
+        """Text index, place in self.items and score of all that reach THRESHOLD, the best of each pair."""
         if not len(self.vocabulary) or not len(h):
             return
-        begin = np.searchsorted(doc, np.arange(docs))
-        unit_of_doc = np.concatenate([[0], np.cumsum(-(-np.bincount(doc, minlength=docs) // SEGMENT))])
-        unit = unit_of_doc[doc] + (np.arange(len(h)) - begin[doc]) // SEGMENT
-        units = int(unit_of_doc[-1])
+        count = np.bincount(doc, minlength=docs)
+        begin = np.cumsum(count) - count
+        of_doc = np.concatenate([[0], np.cumsum(-(-count // SEGMENT))])
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == h
-        pair = np.unique(unit[hit] * len(self.vocabulary) + at[hit])
-        u, t = pair // len(self.vocabulary), pair % len(self.vocabulary)
-        flat_most = np.bincount(u, weights=np.where(self.common[t], self.most[t], 0.0), minlength=units)
-        rare = ~self.common[t]
-        ur, tr = u[rare], t[rare]
-        n = self.block_first[tr + 1] - self.block_first[tr]
-        base = np.concatenate([[0], np.cumsum(n)])[:-1]
-        place = np.repeat(self.block_first[tr] - base, n) + np.arange(int(n.sum()))
-        bound = np.bincount(np.repeat(ur, n) * self.blocks + self.block[place], weights=self.block_most[place], minlength=units * self.blocks).reshape(units, self.blocks)
-        same = np.zeros(units, bool)  # does the next unit belong to the same text
-        same[:-1] = True
-        same[unit_of_doc[1:][unit_of_doc[1:] > 0] - 1] = False
-        window = bound.astype(float)
-        window[:-1] += np.where(same[:-1, None], bound[1:], 0)
-        flat_most[:-1] += np.where(same[:-1], flat_most[1:], 0)
-        window += np.minimum(flat_most[:, None], self.shared_most)
-        unit_doc = np.repeat(np.arange(docs), np.diff(unit_of_doc))
-        edges = np.searchsorted(u, np.arange(units + 1))
-        best: dict[tuple[int, int], float] = {}
-        for w, block in np.argwhere(window >= THRESHOLD - 1e-9).tolist():
-            own = np.unique(t[edges[w] : edges[w + 1 + bool(same[w])]])
-            score = np.zeros(BLOCK)
-            for x in own.tolist():
-                a, b = self.first[x], self.first[x + 1]
-                lo, hi = a + np.searchsorted(self.segment[a:b], [block * BLOCK, block * BLOCK + BLOCK])
-                score[self.segment[lo:hi] - block * BLOCK] += self.weight[lo:hi]
-            for s in np.flatnonzero(score >= THRESHOLD - 1e-9).tolist():
-                key = int(unit_doc[w]), int(self.owner[block * BLOCK + s])
-                best[key] = max(best.get(key, 0.0), float(score[s]))
-        yield from ((k, p, s) for (k, p), s in best.items())
-
-
-def parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The test items in parts of PART_BYTES at most, one after another."""
-    part, size = [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if part and size + len(row.text) * 4 > PART_BYTES:
-            yield part
-            part, size = [], 0
-        part.append((row.item_id, row.text))
-        size += len(row.text) * 4
-    yield part
+        hit = np.flatnonzero(self.vocabulary[at] == h)
+        unit = of_doc[doc[hit]] + (hit - begin[doc[hit]]) // SEGMENT
+        term, units = at[hit], int(of_doc[-1])
+        same = np.ones(units + 1, bool)  # does the next unit belong to the same text
+        same[of_doc[1:][of_doc[1:] > 0] - 1] = False
+        owner = np.repeat(np.arange(docs), np.diff(of_doc))
+        found = []
+        for low in range(0, units, WINDOWS):
+            high = min(units, low + WINDOWS)
+            a, b = np.searchsorted(unit, [low, high + 1])
+            u, t = unit[a:b], term[a:b]
+            late = (u > low) & same[u - 1]
+            win, t = np.concatenate([u[u < high], u[late] - 1]), np.concatenate([t[u < high], t[late]])
+            key = np.unique((win - low) * len(self.vocabulary) + t)
+            for w, s, score in self.turns(key // len(self.vocabulary), key % len(self.vocabulary)):
+                found.append((owner[w + low] * len(self.items) + self.owner[s], score))
+        if found:
+            pair, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((-score, pair))
+            pair, first = np.unique(pair[order], return_index=True)
+            for p, x in zip(pair.tolist(), score[order][first].tolist(), strict=True):
+                yield p // len(self.items), p % len(self.items), x
+
+    def turns(self, win: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, segments and scores at or above the threshold; one cursor for each window and term."""
+        least, wide = THRESHOLD - 1e-9, self.number + 1
+        able = np.bincount(win, weights=self.most[term]) >= least
+        win, term = win[able[win]], term[able[win]]
+        at = self.first[term]
+        while len(win):
+            segment = self.segment[at]
+            order = np.argsort(win * wide + segment, kind="stable")
+            win, term, at, segment = win[order], term[order], at[order], segment[order]
+            head = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
+            group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(win))))
+            most = self.most[term]
+            run = np.cumsum(most)
+            run -= (run[head] - most[head])[group]
+            short = np.add.reduceat(run < least, head, dtype=np.int64)
+            some = short < np.diff(np.append(head, len(win)))
+            pivot = segment[np.minimum(head + short, len(win) - 1)]
+            live = some[group]
+            before = live & (segment <= pivot[group])
+            own, g = term[before], group[before]
+            block = np.searchsorted(self.block_key, own * wide + pivot[g])
+            inside = block < self.block_first[own + 1]
+            block = np.minimum(block, len(self.block_key) - 1)
+            full = np.bincount(g, weights=np.where(inside, self.block_most[block], 0.0), minlength=len(head)) >= least
+            edge = np.full(len(head), self.number)
+            np.minimum.at(edge, g, np.where(inside, self.block_last[block], self.number))
+            behind = live & ~before
+            np.minimum.at(edge, group[behind], segment[behind] - 1)
+            target = np.where(full, pivot, np.maximum(edge, pivot) + 1)
+            wanted = own * wide + target[g]
+            to = np.searchsorted(self.key, wanted)
+            exact = full[g] & (self.key[np.minimum(to, len(self.key) - 1)] == wanted)
+            score = np.bincount(g, weights=np.where(exact, self.weight[np.minimum(to, len(self.key) - 1)], 0.0), minlength=len(head))
+            good = np.flatnonzero(full & some & (score >= least))
+            if len(good):
+                yield win[head[good]], pivot[good], score[good]
+            at[before] = to + exact
+            live &= at < self.first[term + 1]
+            win, term, at = win[live], term[live], at[live]
+
+
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The test items in indexes of about PART_BYTES, one after another; statistics are those of all items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                cut = segments(text)
+                if cut:
+                    own, n = np.unique(np.concatenate([np.unique(x) for x in cut]), return_counts=True)
+                    sums = np.array([len(cut), sum(map(len, cut))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(own.view(np.int64), [0, 0])), pa.array(np.concatenate([n, sums])), pa.array([0] * len(own) + [1, 2])], ["term", "n", "what"])
+
+    found = stored(items.mapInArrow(released(run), "term long, n long, what long").groupBy("what", "term").agg(F.sum("n").alias("n")), "terms")
+    sums = {r.what: r.n for r in found.where("what > 0").collect()}
+    if not sums:
+        return
+    total = items.agg(F.sum(F.octet_length("text") * 4)).first()[0]
+    parts = -(-total // PART_BYTES)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for i in range(parts):
+        own = items.where(part == i) if parts > 1 else items
+        rows = sorted(((r.item_id, r.text) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r))
+        mine = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, text in rows for x in segments(text))])).view(np.int64)
+        words = found.where("what = 0").select("term", "n")
+        if parts > 1:  # only the frequencies of this part's terms
+            words = words.join(found.sparkSession.createDataFrame(pa.table({"term": mine})), "term", "left_semi")
+        got = words.toArrow()
+        term, n = got["term"].to_numpy().view(np.uint64), got["n"].to_numpy()
+        order = np.argsort(term)
+        yield Index(rows, (term[order], n[order].astype(np.float64)), sums[1], sums[2] / sums[1])
 
 
 def verified(index: Index, b: pa.RecordBatch) -> Iterator[tuple[int, int, float, float, float]]:
     """Row, item_id, score, question_overlap and answer_overlap of every verified pair of a batch."""
-    data, offsets = flat(b.column("text"))
-    h, doc = terms(data, offsets)
+    h, doc = terms(*flat(b.column("text")))
+    row, seen = -1, {}
     for k, p, score in index.search(h, doc, b.num_rows):
-        item, q, a, wq, wa = index.parts[p]
-        own = h[np.searchsorted(doc, k) : np.searchsorted(doc, k, side="right")]
-        nq, na = (np.isin(x, runs(own, w)).sum() if len(x) else 0 for x, w in ((q, wq), (a, wa)))
-        in_q, in_a = nq / max(1, len(q)), (na / len(a)) if len(a) else 1.0
-        if nq + na >= OVERLAP * (len(q) + len(a)) and min(in_q, in_a) >= PART_OVERLAP:
-            yield k, item, score, float(in_q), float(in_a)
+        if k != row:  # the text's shingles by width, sorted once
+            row, seen = k, {}
+            own = h[np.searchsorted(doc, k) : np.searchsorted(doc, k, side="right")]
+        item, *both = index.items[p]
+
+        def share(units: np.ndarray, width: int) -> int:
+            if width not in seen:
+                seen[width] = np.unique(runs(own, width))
+            at = np.minimum(np.searchsorted(seen[width], units), len(seen[width]) - 1)
+            return int((seen[width][at] == units).sum())
+
+        held = [share(x.shingles, x.width) for x in both]
+        alone = [share(x.units, x.alone) / len(x.units) if len(x.units) else 1.0 for x in both]
+        if sum(held) >= OVERLAP * sum(len(x.shingles) for x in both) and min(alone) >= PART_OVERLAP:
+            yield k, item, score, *(n / len(x.shingles) if len(x.shingles) else 1.0 for n, x in zip(held, both, strict=True))
+
+
+PAIR = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of every verified pair."""
     spark, out = docs.sparkSession, None
-    for part in parts(benchmark):
-        held = spark.sparkContext.broadcast(part)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for index in indexes(benchmark):
+        held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
             for b in chunks(batches, "text"):
                 ids = b.column("doc_id").to_pylist()
-                rows = [(ids[k], *found) for k, *found in verified(index, b)]
+                rows = [(ids[k], *found) for k, *found in verified(held.value, b)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = docs.mapInArrow(released(run), PAIR)
         out = found if out is None else out.union(found)
-    return out
+    return spark.createDataFrame([], PAIR) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a test item, whatever their doc_id."""
-    for part in parts(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(part)
+    for i, index in enumerate(indexes(benchmark)):
+        held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
             for b in chunks(batches, "text"):
                 keep = np.ones(b.num_rows, bool)
-                keep[[k for k, *_ in verified(index, b)]] = False
+                keep[[k for k, *_ in verified(held.value, b)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        if i:  # no task holds several indexes at once
+            docs = stored(docs, "clean")
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs
 
 
