@@ -1,9 +1,15 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
-Words of many texts are cut out by array operations on code points, hashed, and looked up in a bounded cache
-of encoded words. Words not yet seen are encoded together: their symbols stand in one flat array, the rank of
-every adjacent pair is found by binary search over the sorted pair keys of the merge table, and in each round
-every word merges all places of its lowest-ranked pair.
+Words of many texts are cut out by array operations on code points and looked up in a bounded cache of encoded
+words, by their own bytes: short words as one 64-bit number that holds all of them, longer ones as byte strings.
+Words not yet seen are encoded together: their symbols stand in one flat array, the rank of every adjacent pair is
+found by binary search over the sorted pair keys of the merge table, and in each round every word merges all places
+of its lowest-ranked pair. In a word of more than LONG symbols only the places of that pair and their neighbours
+are looked at in a round, which merges the same pairs in the same order.
+
+What is a letter, a digit or white space is the library's own view: each code point that comes up is put to its
+pre-tokenizer once. Normalising is the library's too, but for texts of letters on which Unicode has long been
+settled (STABLE), where Python's is the same.
 
 Null and empty texts give no ids. Texts may hold the strings of special tokens, which become their ids, as the
 vocabulary's own library does by default. Repeated rows are encoded alike. Other columns are left out, whatever
@@ -13,50 +19,56 @@ their names.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import chunks, documents, mix, span_hashes
-
-#: Encoded words kept by a worker before the cache starts anew.
-CACHE_WORDS = 1_500_000
-
-L, N, OTHER, SPACE, BREAK = range(5)
-#: White space as Unicode has it.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: The pre-tokenizer patterns of the two kinds of vocabulary.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+from tidewell.llm.common import chunks, documents, once, released
 
-_once: dict = {}
+#: Bytes that a worker's cache of encoded words takes, about, before it starts anew.
+CACHE_BYTES = 32 << 20
+#: Symbols from which on a word is merged by places.
+LONG = 2048
+#: Texts are normalised in pieces of about this many letters, cut before an ASCII letter, which never joins what is before it.
+PIECE = 1 << 16
 
-
-def once(key, make: Callable):
-    if key not in _once:
-        _once[key] = make()
-    return _once[key]
+L, N, OTHER, SPACE, BREAK, UNKNOWN = range(6)
+#: ASCII, Latin, Greek and Cyrillic with combining marks, general punctuation, kana, Han and Hangul.
+STABLE = "[^\x00-\u036f\u0400-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 
 
 def classes() -> np.ndarray:
+    """L, N, OTHER, SPACE or BREAK of each code point by Python's tables."""
+
     def make():
         kinds = {"L": L, "N": N}
         out = np.array([kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
-        out[WHITE] = BREAK
+        out[[i for i in range(0x3001) if chr(i).isspace() and not 0x1C <= i <= 0x1F]] = BREAK
         out[0x20] = SPACE
         return out
 
     return once("classes", make)
 
 
-def code_values() -> np.ndarray:
-    return once("values", lambda: mix(np.arange(1, 0x110001, dtype=np.uint64)))
+def folded() -> np.ndarray:
+    """Each code point in lower case, where that is one code point."""
+
+    def make():
+        out = np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x1E944):
+            low = chr(i).lower()
+            if len(low) == 1:
+                out[i] = ord(low)
+        return out
+
+    return once("folded", make)
 
 
 def byte_letters() -> list[str]:
@@ -66,82 +78,138 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def cut(texts: list[str], attach_space: bool) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined texts, their code points, and each word's text index, start and end."""
-    joined = "".join(texts)
-    cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(cps)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    c = classes()[cps]
-    first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    first[bounds], last[bounds] = True, True
-    first, last = first[:n], last[1:]
-    prev, after = np.empty(n, np.uint8), np.empty(n, np.uint8)
-    prev[1:], after[:-1] = c[:-1], c[1:]
-    prev[:1], after[-1:] = BREAK, BREAK
-    white, prev_white, after_white = c >= SPACE, prev >= SPACE, after >= SPACE
-    if attach_space:
-        start = np.where(white, first | ~prev_white | (~after_white & ~last), first | (prev == BREAK) | (~prev_white & (prev != c)))
-    else:
-        start = ~white & (first | prev_white | (prev != c) | (c == N))
-    if "'" in joined:  # contractions: their texts are cut by the pattern itself
-        pattern = once(attach_space, lambda: regex.compile(BYTE_PATTERN if attach_space else WORD_PATTERN))
-        quotes = np.unique(np.searchsorted(bounds, np.flatnonzero(cps == 39), side="right") - 1)
-        for k in quotes:
-            a, b = bounds[k], bounds[k + 1]
-            start[a:b] = False
-            start[[a + m.start() for m in pattern.finditer(texts[k])]] = True
-    starts = np.flatnonzero(start)
-    ends = np.append(starts[1:], n)
-    doc = np.searchsorted(bounds, starts, side="right") - 1
-    ends = np.minimum(ends, bounds[doc + 1])
-    if not attach_space:  # white space after a word isn't part of it
-        gap = np.flatnonzero(white)
-        at = np.searchsorted(gap, starts)
-        nearest = np.where(at < len(gap), np.append(gap, n)[np.minimum(at, len(gap))], n)
-        ends = np.minimum(ends, nearest)
-    return joined, cps, doc, starts, ends
+class Cutter:
+    """Cuts texts into the words of a pre-tokenizer, of which it learns the class of each code point by asking.
+
+    attach_space: a space before a word belongs to it and other white space is kept; otherwise white space goes and
+    each digit is a word.
+    """
+
+    def __init__(self, pre_tokenize: Callable[[str], list], attach_space: bool) -> None:
+        self.pieces, self.attach = lambda text: len(pre_tokenize(text)), attach_space
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+
+    def kind(self, c: str) -> int:
+        if self.pieces(f"a{c}a") == 1:
+            return L
+        if self.pieces(f"!{c}!") == 1:
+            return OTHER
+        if self.pieces(f"1{c}1") == (1 if self.attach else 3):
+            return N
+        return SPACE if c == " " else BREAK
+
+    def classes(self, cps: np.ndarray) -> np.ndarray:
+        out = self.kinds[cps]
+        if (out == UNKNOWN).any():
+            for i in np.unique(cps[out == UNKNOWN]).tolist():
+                self.kinds[i] = self.kind(chr(i))
+            out = self.kinds[cps]
+        return out
+
+    def cut(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The joined texts in UTF-8, and each word's text index, start and end in bytes."""
+        joined = "".join(texts)
+        raw = joined.encode("utf-8", "surrogatepass")
+        plain = len(raw) == len(joined)
+        cps = np.frombuffer(raw, np.uint8) if plain else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(cps)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        c = self.classes(cps)
+        first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        first[bounds], last[bounds] = True, True
+        first, last = first[:n], last[1:]
+        prev, after = np.empty(n, np.uint8), np.empty(n, np.uint8)
+        prev[1:], after[:-1] = c[:-1], c[1:]
+        prev[:1], after[-1:] = BREAK, BREAK
+        white, prev_white, after_white = c >= SPACE, prev >= SPACE, after >= SPACE
+        if self.attach:
+            start = np.where(white, first | ~prev_white | (~after_white & ~last), first | (prev == BREAK) | (~prev_white & (prev != c)))
+        else:
+            start = ~white & (first | prev_white | (prev != c) | (c == N))
+        quotes = np.flatnonzero((cps == 39) & start)
+        if len(quotes):  # 's, 't, 're, 've, 'm, 'll and 'd are words where a word can begin, whatever letters follow
+            to = bounds[np.searchsorted(bounds, quotes, side="right")]
+            one, two = (np.where(quotes + k < to, cps[np.minimum(quotes + k, n - 1)], 0) for k in (1, 2))
+            short = np.isin(one, [ord(x) for x in "stmd"])
+            long = np.isin(one * 256 + np.minimum(two, 255), [ord(x) * 256 + ord(y) for x, y in ("re", "ve", "ll")])
+            for hit, size in ((short, 2), (long, 3)):
+                at, end = quotes[hit], to[hit]
+                start[at + 1] = False
+                behind = (at + size)[at + size < end]
+                start[behind] |= ~white[behind]
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], n)
+        doc = np.searchsorted(bounds, starts, side="right") - 1
+        ends = np.minimum(ends, bounds[doc + 1])
+        if not self.attach:  # white space after a word isn't part of it
+            gap = np.flatnonzero(white)
+            at = np.searchsorted(gap, starts)
+            nearest = np.where(at < len(gap), np.append(gap, n)[np.minimum(at, len(gap))], n)
+            ends = np.minimum(ends, nearest)
+        if not plain:
+            place = np.concatenate([[0], np.cumsum(1 + (cps >= 0x80).astype(np.int8) + (cps >= 0x800) + (cps >= 0x10000), dtype=np.int64)])
+            starts, ends = place[starts], place[ends]
+        return raw, doc, starts, ends
 
 
 class Words:
-    """A cache of encoded words: sorted hashes, and places in one pool of ids."""
+    """A cache of encoded words, by their bytes: sorted numbers for those of 7 at most, a dict for the others."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], attach_space: bool) -> None:
-        self.encode, self.attach = encode, attach_space
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cutter: Cutter) -> None:
+        self.encode, self.cutter = encode, cutter
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.row, self.long, self.bytes = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}, 0
         self.at, self.size, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """The rows of new words."""
+        ids, sizes = self.encode(words)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        rows = len(self.at) + np.arange(len(words))
+        self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used += len(ids)
+        self.bytes += 4 * len(ids) + sum(32 if len(w) < 8 else 150 + len(w) for w in words)
+        return rows
+
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each."""
-        if len(self.keys) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.clear()
-        joined, cps, doc, starts, ends = cut(texts, self.attach)
-        h = span_hashes(code_values()[cps], starts, ends)
-        seen, index, back = np.unique(h, return_index=True, return_inverse=True)
+        raw, doc, starts, ends = self.cutter.cut(texts)
+        length = ends - starts
+        short = length < 8
+        row = np.empty(len(starts), np.int64)
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = np.frombuffer(raw, np.uint8)
+        wide = np.ndarray(len(raw) + 1, np.uint64, padded, strides=(1,))
+        n = length[short].astype(np.uint64)
+        key = wide[starts[short]] & (np.uint64(1) << np.uint64(8) * n) - np.uint64(1) | n << np.uint64(56)
+        seen, index, back = np.unique(key, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, seen)
         known = np.zeros(len(seen), bool)
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == seen
         new = np.flatnonzero(~known)
         if len(new):
-            a, b = starts[index[new]].tolist(), ends[index[new]].tolist()
-            ids, sizes = self.encode([joined[i:j] for i, j in zip(a, b, strict=True)])
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            rows = len(self.at) + np.arange(len(new))
-            self.at = np.concatenate([self.at, self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)])
-            self.size = np.concatenate([self.size, sizes])
-            self.used += len(ids)
+            a, b = (x[short][index[new]].tolist() for x in (starts, ends))
+            rows = self.add([raw[i:j] for i, j in zip(a, b, strict=True)])
             self.keys, self.row = np.insert(self.keys, at[new], seen[new]), np.insert(self.row, at[new], rows)
             at = np.searchsorted(self.keys, seen)
-        row = self.row[at][back.reshape(-1)] if len(seen) else np.zeros(0, np.int64)
+        if len(seen):
+            row[short] = self.row[at][back.reshape(-1)]
+        words = [raw[i:j] for i, j in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True)]
+        fresh = [w for w in dict.fromkeys(words) if w not in self.long]
+        if fresh:
+            self.long.update(zip(fresh, self.add(fresh).tolist(), strict=True))
+        row[~short] = list(map(self.long.__getitem__, words))
         sizes = self.size[row]
         total = int(sizes.sum())
-        base = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else sizes
+        base = np.cumsum(sizes) - sizes
         ids = self.pool[np.repeat(self.at[row] - base, sizes) + np.arange(total)]
         return ids, np.bincount(doc, weights=sizes, minlength=len(texts)).astype(np.int64)
 
@@ -152,9 +220,8 @@ class Merges:
     def __init__(self, path: str) -> None:
         spec = json.loads(Path(path).read_text())
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        v = self.vocab
+        v: dict[str, int] = model["vocab"]
         keys = np.array([v[a] << 32 | v[b] for a, b in pairs], np.uint64)
         made = np.array([v[a + (b if not model.get("continuing_subword_prefix") else b[len(model["continuing_subword_prefix"]) :])] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
@@ -166,7 +233,8 @@ class Merges:
         if (self.plain < 0).any() or (self.closing < 0).any():
             raise ValueError("the vocabulary doesn't hold every byte")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.tokens = {i: t for t, i in v.items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in v.items()} | {i: t for t, i in self.special.items()}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
 
     NONE = np.int64(1 << 40)
 
@@ -178,12 +246,65 @@ class Merges:
     #: Words whose merge rounds run together; it bounds the flat arrays.
     TOGETHER = 16_384
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._rounds(words[at : at + self.TOGETHER]) for at in range(0, len(words), self.TOGETHER)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def _rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        for a, z in zip([-1, *long], [*long, len(words)], strict=True):
+            for at in range(a + 1, z, self.TOGETHER):
+                i, n = self._rounds(words[at : min(z, at + self.TOGETHER)])
+                ids.append(i)
+                sizes.append(n)
+            if z < len(words):
+                ids.append(self._places(words[z]))
+                sizes.append(np.array([len(ids[-1])]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, word: bytes) -> np.ndarray:
+        """One word by the places of its lowest-ranked pair, which a heap of ranks gives; links lead over what has merged."""
+        data = np.frombuffer(word, np.uint8)
+        n = len(data)
+        sym = self.plain[data]
+        sym[-1] = self.closing[data[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            rank = self.ranks(sym[at], sym[after[at]])
+            at, rank = at[rank < self.NONE], rank[rank < self.NONE]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            found, first = np.unique(rank[order], return_index=True)
+            for r, own in zip(found.tolist(), np.split(at[order], first[1:]), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(own)
+
+        add(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            at = at[self.ranks(sym[at], sym[after[at]]) == r]
+            if not len(at):
+                continue
+            run = np.concatenate([[True], after[at[:-1]] != at[1:]])  # x x x: every second place, from the left
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            sym[at], alive[gone] = self.made[r], False
+            after[at] = after[gone]
+            behind = after[at] < n
+            before[after[at[behind]]] = at[behind]
+            left = before[at][before[at] >= 0]
+            add(np.unique(np.concatenate([left, at[behind]])))
+        return sym[alive].astype(np.uint32)
+
+    def _rounds(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(x) for x in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(size)
@@ -216,11 +337,25 @@ class Merges:
         return sym[order].astype(np.uint32), np.bincount(word, minlength=len(raw)).astype(np.int64)
 
 
-def normalised(text: str) -> str:
-    """NFC, lower case letter by letter; white space is left to the cutting of words."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+class Normal:
+    """NFC and lower case, as the library's normalizer gives it but for white space, which isn't part of any word."""
+
+    def __init__(self, normalize: Callable[[str], str]) -> None:
+        self.normalize, self.other = normalize, re.compile(STABLE)
+        self.ascii = re.compile("[\x00-\x7f]")
+
+    def __call__(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if not self.other.search(text):
+            return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        out, at = [], 0
+        while at < len(text):
+            m = self.ascii.search(text, at + PIECE)
+            to = m.start() if m else len(text)
+            out.append(self.normalize(text[at:to]))
+            at = to
+        return "".join(out)
 
 
 class Encoder:
@@ -228,7 +363,7 @@ class Encoder:
 
     def __init__(self, words: Words, special: dict[str, int], normal: Callable[[str], str]) -> None:
         self.words, self.special, self.normal = words, special, normal
-        self.pattern = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
+        self.pattern = re.compile("|".join(re.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -258,10 +393,13 @@ class Tokenizer(Encoder):
     """Encodes whole texts with a word-end vocabulary and decodes ids again."""
 
     def __init__(self, path: str) -> None:
-        self.merges = Merges(path)
-        super().__init__(Words(self.merges.encode, attach_space=False), self.merges.special, normalised)
-        names = self.merges.tokens
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        from tokenizers import Tokenizer as Library
+
+        merges = Merges(path)
+        spec = json.loads(Path(path).read_text())
+        library = Library.from_str(json.dumps(spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        super().__init__(Words(merges.encode, Cutter(library.pre_tokenizer.pre_tokenize_str, attach_space=False)), merges.special, Normal(library.normalizer.normalize_str))
+        self.names = merges.names
 
     def decode(self, ids: np.ndarray) -> str:
         """Without a decoder of its own, a vocabulary's tokens are joined by single spaces."""
@@ -287,7 +425,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", ids: str = "to
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -305,7 +443,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 at = to
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,9 @@ _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_MULT, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Spans of more 64-bit blocks than this are hashed one by one.
+_BLOCKS = 8
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -34,10 +35,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; this cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again; this cuts the lineage and survives lost executors.
+
+    paths, if given, gets the folder, for discard().
+    """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +52,45 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders of stored() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(p), True)
+
+
+#: Tables of a worker that it can make again; they go when a task ends, as workers outlive tasks and stages.
+_held: dict = {}
+
+
+def once(key, make: Callable):
+    """make(), called once for all uses of key in a task."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """run for mapInArrow; when its task ends, the worker's tables and free memory go back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
@@ -60,23 +105,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for key, base in (("up", _MULT), ("down", _INV)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.cumprod(a, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], from one running sum; the same span contents hash alike anywhere."""
+    """64-bit hashes of values[start:end], none empty; values are bytes or 32-bit. Equal contents hash alike anywhere.
+
+    Spans are read in blocks of 64 bits, each mixed into what the blocks before gave, all spans at once.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(values) + 1)
-    run = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    width = values.itemsize
+    per, size = 8 // width, ends - starts
+    padded = np.zeros(len(values) + per, values.dtype)
+    padded[: len(values)] = values
+    wide = np.ndarray(len(values) + 1, np.uint64, padded, strides=(width,))
+    mask = np.array([(1 << 8 * width * k) - 1 for k in range(per + 1)], np.uint64)
+    h = mix((wide[starts] & mask[np.minimum(size, per)]) + size.astype(np.uint64) * _LENGTH)
+    rest, k = np.flatnonzero((size > per) & (size <= _BLOCKS * per)), per
+    while len(rest):
+        left = size[rest] - k
+        h[rest] = mix(h[rest] * _MULT + (wide[starts[rest] + k] & mask[np.minimum(left, per)]))
+        rest, k = rest[left > per], k + per
+    for i in np.flatnonzero(size > _BLOCKS * per).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +165,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(inner & (~before | cut[:-1]))
     ends = np.flatnonzero(inner & (~after | cut[1:])) + 1
     doc = np.searchsorted(offsets, starts, side="right") - 1
-    return span_hashes(_BYTE[_LOWER[data]], starts, ends), doc, starts, ends
+    return span_hashes(_LOWER[data], starts, ends), doc, starts, ends
 
 
 def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:

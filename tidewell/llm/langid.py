@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidewell.llm.bpe import L as LETTER
-from tidewell.llm.bpe import classes, once
-from tidewell.llm.common import chunks, documents, stored
+from tidewell.llm.bpe import classes, folded
+from tidewell.llm.common import chunks, documents, once, released, stored
 
 #: Bits of a symbol in counted codes, and the least in a model's own.
 BITS, LEAST_BITS = 16, 6
@@ -48,11 +48,7 @@ FOLDS, FOLD_ROWS, ENOUGH, STEPS = 5, 200, 30, 100
 
 def symbols() -> np.ndarray:
     def make():
-        out = np.arange(0x110000, dtype=np.uint32)
-        for i in range(0x1E944):
-            low = chr(i).lower()
-            if len(low) == 1:
-                out[i] = ord(low)
+        out = folded().copy()
         out[classes() != LETTER] = 0
         return out
 
@@ -116,7 +112,7 @@ def counts(train: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return train.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return train.select("text", "lang").mapInArrow(released(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def discount(one: int, two: int) -> float:
@@ -256,9 +252,9 @@ def with_entropies(docs: DataFrame, model: Model, finish: Callable, schema) -> D
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h.tolist(), pa.list_(pa.float64()))], [*b.schema.names, column])
 
         if last:
-            return docs.mapInArrow(run, schema)
+            return docs.mapInArrow(released(run), schema)
         fields = [f for f in docs.schema.fields if f.name != column]
-        docs = stored(docs.mapInArrow(run, StructType([*fields, StructField(column, ArrayType(DoubleType()))])), "sums")
+        docs = stored(docs.mapInArrow(released(run), StructType([*fields, StructField(column, ArrayType(DoubleType()))])), "sums")
 
 
 def posterior(h: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:

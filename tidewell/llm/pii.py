@@ -6,7 +6,8 @@ documents, the pointwise information that term t gives about entity e, log p(e|t
 information content of the entity itself, -log p(e). No pair is too rare to count: p(e|t) is smoothed towards p(e)
 as if PRIOR more document had been seen, and documents of the same words in the same order (copies) are one document there. A term
 that gives SHARE of the information or more is over the disclosure threshold and becomes a span of kind `term`
-wherever it occurs. sanitise() writes a placeholder of its kind over each span.
+wherever it occurs; all runs of letters and digits are terms, of any length. sanitise() generalises each span to its
+kind, terms to number, name or word, or removes terms.
 
 Defined results: a null text is empty and has no spans; repeated rows give equal rows; an empty table gives an
 empty result. sanitise() keeps every other column, whatever its name. Overlapping spans are replaced as one.
@@ -24,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import L as LETTER
-from tidewell.llm.bpe import classes, code_values, once
-from tidewell.llm.common import chunks, documents, mix, sized, span_hashes, stored
+from tidewell.llm.bpe import N, classes, folded
+from tidewell.llm.common import chunks, documents, released, sized, span_hashes, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-MIN_LETTERS = 3
 SHARE, PRIOR = 0.9, 1.0
 #: Pairs of a term and an entity that one batch hands to Spark.
 PAIRS_A_BATCH = 1 << 17
@@ -80,29 +79,15 @@ def shown(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def folded_values() -> np.ndarray:
-    def make():
-        low = np.arange(0x110000, dtype=np.uint32)
-        for i in range(0x1E944):
-            x = chr(i).lower()
-            if len(x) == 1:
-                low[i] = ord(x)
-        return code_values()[low]
-
-    return once("folded", make)
-
-
 def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text index, start and end (in the text) of every run of MIN_LETTERS letters or more, case folded."""
+    """Hash, text index, start and end (in the text) of every run of letters and digits, case folded."""
     cps = np.frombuffer("".join("\n" + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    inner = np.concatenate([classes()[cps] == LETTER, [False]])
+    inner = np.concatenate([classes()[cps] <= N, [False]])
     starts = np.flatnonzero(inner[1:] & ~inner[:-1]) + 1
     ends = np.flatnonzero(~inner[1:] & inner[:-1]) + 1
-    long = ends - starts >= MIN_LETTERS
-    starts, ends = starts[long], ends[long]
     doc = np.searchsorted(bounds, starts, side="right") - 1
-    return span_hashes(folded_values()[cps], starts, ends), doc, starts - bounds[doc] - 1, ends - bounds[doc] - 1
+    return span_hashes(folded()[cps], starts, ends), doc, starts - bounds[doc] - 1, ends - bounds[doc] - 1
 
 
 def entity(text: str, kind: str) -> int:
@@ -134,7 +119,7 @@ def occurring(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(key), pa.nulls(len(key), pa.int64())]
                 yield pa.RecordBatch.from_arrays([cols[k], cols[1 - k], pa.array(n.astype(np.int64))], ["term", "entity", "n"])
 
-    return docs.select("text").mapInArrow(run, "term long, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "term long, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
 
 
 def together(docs: DataFrame, without: np.ndarray) -> DataFrame:
@@ -155,7 +140,7 @@ def together(docs: DataFrame, without: np.ndarray) -> DataFrame:
                     cols = np.tile(words, len(part)), np.repeat(part, len(words)), np.full(len(words) * len(part), place, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["term", "entity", "place"])
 
-    return docs.select("text").mapInArrow(run, "term long, entity long, place long")
+    return docs.select("text").mapInArrow(released(run), "term long, entity long, place long")
 
 
 def blocks(terms: DataFrame) -> Iterator[np.ndarray]:
@@ -189,7 +174,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(held.value[some]), pa.array(total[some])], ["term", "docs"])
 
-        counted = docs.select("text").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+        counted = docs.select("text").mapInArrow(released(run), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
         out = counted if out is None else out.union(counted)
     return out
 
@@ -229,7 +214,7 @@ def with_spans(docs: DataFrame, terms: DataFrame, finish: Callable, schema) -> D
                 base, more = ([parsed(x) for x in b.column(c).to_pylist()] for c in (first, second))
                 yield finish(b.select(list(range(b.num_columns - 2))), base, more)
 
-        return marked.mapInArrow(last, schema)
+        return marked.mapInArrow(released(last), schema)
     held = docs.sparkSession.sparkContext.broadcast(next(blocks(terms)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +227,7 @@ def with_spans(docs: DataFrame, terms: DataFrame, finish: Callable, schema) -> D
                     more[doc[k]].append(("term", int(starts[k]), int(ends[k])))
             yield finish(b, [base_spans(t) for t in texts], more)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -261,7 +246,7 @@ def _with_base(docs: DataFrame, at: str, more_at: str) -> DataFrame:
             base = [shown(base_spans(x or "")) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, pa.string()), pa.array([""] * b.num_rows, pa.string())], [*b.schema.names, at, more_at])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(at, StringType()), StructField(more_at, StringType())]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, StructField(at, StringType()), StructField(more_at, StringType())]))
 
 
 def _term_passes(df: DataFrame, terms: DataFrame, column: str) -> DataFrame:
@@ -279,7 +264,7 @@ def _term_passes(df: DataFrame, terms: DataFrame, column: str) -> DataFrame:
                 at = b.schema.get_field_index(column)
                 yield b.set_column(at, b.schema.field(at), pa.array([",".join(sorted(x, key=lambda s: int(s.split(":")[1]))) for x in more], pa.string()))
 
-        df = df.mapInArrow(run, schema)
+        df = df.mapInArrow(released(run), schema)
         if len(keys) * 2 > TERMS_A_PASS:  # no executor holds several blocks at once
             df = stored(df, "spans")
     return df
@@ -293,8 +278,15 @@ def in_order(base: list, more: list) -> list[tuple[str, int, int]]:
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by [KIND]."""
+def general(kind: str, text: str) -> str:
+    """What stands for a span: its kind, and for a term only whether it's a number, a name (a capital first) or a word."""
+    if kind != "term":
+        return f"[{kind.upper()}]"
+    return "[NUMBER]" if any(c.isdigit() for c in text) else "[NAME]" if text[:1].isupper() else "[WORD]"
+
+
+def sanitise(docs: DataFrame, remove: bool = False) -> DataFrame:
+    """docs with every span of text generalised, or with its terms removed altogether."""
 
     def finish(b: pa.RecordBatch, base: list, more: list) -> pa.RecordBatch:
         texts = b.column("text").to_pylist()
@@ -302,7 +294,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out, at = [], 0
             for kind, a, z in spans:
                 if a >= at:
-                    out += [texts[i][at:a], f"[{kind.upper()}]"]
+                    out += [texts[i][at:a], "" if remove and kind == "term" else general(kind, texts[i][a:z])]
                 at = max(at, z)
             if spans:
                 texts[i] = "".join(out) + texts[i][at:]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tidewell.llm.bpe import encode_column
 from tidewell.llm.common import documents, stored, work_dir
 
 GROUP = ("source", "lang", "tokenizer")
@@ -66,8 +67,9 @@ class Ledger:
         deltas(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch:012d}")
         return True
 
-    def totals(self) -> DataFrame:
-        names = self.batches()
+    def totals(self, names: list[str] | None = None) -> DataFrame:
+        """The sums over the named folders, by default over all that count now."""
+        names = self.batches() if names is None else names
         if not names:
             return self.spark.createDataFrame([], DELTAS)
         rows = self.spark.read.schema(DELTAS).parquet(*(f"{self.folder}/{x}" for x in names))
@@ -78,13 +80,27 @@ class Ledger:
 
         The folders of batches stay as marks against redelivery; they're small.
         """
-        names = self.batches()
+        names = self.batches()  # what is committed after this stays out of both the base and its list
+        batches = [x for x in names if x.startswith("batch-")]
+        if not batches:
+            return
+        old = [x for x in names if x.startswith("base-")]
         every = {x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))}
         number = 1 + max([int(x.split("-")[1]) for x in every if x.startswith(("base-", "held-"))], default=0)
-        held = [x for x in every if x.startswith("batch-") and self._marked(x)]
-        if names and set(names) - {x for x in names if x.startswith("base-")}:
-            self.spark.createDataFrame([(x,) for x in held], "name string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/held-{number:06d}")
-            self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/base-{number:06d}")
+        held = self.spark.createDataFrame([(x,) for x in batches], "name string")
+        if old:
+            held = held.union(self.spark.read.schema("name string").json(f"{self.folder}/{old[0].replace('base-', 'held-')}"))
+        held.coalesce(1).write.mode("overwrite").json(f"{self.folder}/held-{number:06d}")
+        self.totals(names).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/base-{number:06d}")
+
+
+def token_changes(docs: DataFrame, path: str, version: str, op: str = "insert") -> DataFrame:
+    """Changes for deltas(): each document's number of tokens by a vocabulary of the tokenizers library, named `version`.
+
+    A null text has no tokens.
+    """
+    ids = encode_column(docs.select("source", "lang", "text"), path, ids="token_ids")
+    return ids.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(op).alias("op"), F.size("token_ids").cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("old_tokens"))
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -27,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import Encoder, Words, byte_letters, once
-from tidewell.llm.common import chunks, documents, sized, stored, work_dir
+from tidewell.llm.bpe import Cutter, Encoder, Words, byte_letters
+from tidewell.llm.common import chunks, documents, once, released, sized, stored, work_dir
 
-LENGTH, ROWS, END_ID = 1024, 2048, 0
+LENGTH, ROWS, END_ID = 1024, 256, 0
+#: Bytes of text that a shard holds, about; what the end mark of a stream file takes.
+SHARD_BYTES, END_BYTES = 32 << 20, 8
 
 
 def library_encoder(path: str) -> Encoder:
-    """Words are encoded by the tokenizers library itself, each distinct one once."""
+    """Words are those of the library's pre-tokenizer and encoded by its model, each distinct one once."""
 
     def make() -> Encoder:
         from tokenizers import Tokenizer
@@ -42,12 +44,12 @@ def library_encoder(path: str) -> Encoder:
         library, letters = Tokenizer.from_file(path), byte_letters()
         model = library.model
 
-        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [[t.id for t in model.tokenize("".join(map(letters.__getitem__, w.encode("utf-8", "surrogatepass"))))] for w in words]
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [[t.id for t in model.tokenize("".join(map(letters.__getitem__, w)))] for w in words]
             return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
 
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        out = Encoder(Words(encode, attach_space=True), special, lambda t: t)
+        out = Encoder(Words(encode, Cutter(library.pre_tokenizer.pre_tokenize_str, attach_space=True)), special, lambda t: t)
         out.vocabulary = library.get_vocab_size()
         return out
 
@@ -96,29 +98,45 @@ class Writer:
 
 
 class Sequences:
-    """Random access to the sequences of a shard: views of its bytes, mapped where the file is local."""
+    """Random access to the sequences of a shard, batch by batch; views of its bytes where the file is local and so mapped.
+
+    All batches but the last take the same number of bytes, so any of them is found without reading those before.
+    """
 
     def __init__(self, uri: str) -> None:
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
         self.source = pa.memory_map(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(path)
-        self.batches = list(pa.ipc.open_stream(self.source))
-        self.rows = self.batches[0].num_rows if self.batches else 0
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.begin, self.kept = self.source.tell(), (-1, None)
+        body = self.source.size() - self.begin - END_BYTES
+        self.step, self.rows = body, 0
+        if body > 0:
+            self.kept = 0, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+            self.step, self.rows = self.source.tell() - self.begin, self.kept[1].num_rows
+        self.batches = -(-body // self.step) if body > 0 else 0
+
+    def batch(self, i: int) -> pa.RecordBatch:
+        if self.kept[0] != i:
+            self.source.seek(self.begin + i * self.step)
+            self.kept = i, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        return self.kept[1]
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return (self.batches - 1) * self.rows + self.batch(self.batches - 1).num_rows if self.batches else 0
 
     def __getitem__(self, i: int) -> np.ndarray:
-        column = self.batches[i // self.rows].column("ids")
+        column = self.batch(i // self.rows).column("ids")
         return column.values.to_numpy()[i % self.rows * column.type.list_size :][: column.type.list_size]
 
     def column(self, name: str, batch: int) -> np.ndarray:
-        return self.batches[batch].column(name).values.to_numpy(zero_copy_only=name == "ids")
+        return self.batch(batch).column(name).values.to_numpy(zero_copy_only=name == "ids")
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards; shard, docs and n_tokens of each."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = ordered.repartitionByRange(-(-total // SHARD_BYTES) or 1, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = library_encoder(path), TaskContext.get().partitionId()
@@ -149,7 +167,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> Data
 
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    return stored(ordered.mapInArrow(run, "shard long, docs long, n_tokens long"), "shards")
+    return stored(ordered.mapInArrow(released(run), "shard long, docs long, n_tokens long"), "shards")
 
 
 def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
@@ -168,7 +186,7 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
             with fs.open_input_file(f"{base}/{name}.docs.arrow") as f:
                 known = pa.ipc.open_stream(f).read_all()
             crc, sizes, rest = [], [], np.zeros(0, "<u4")
-            for k in range(len(file.batches)):
+            for k in range(file.batches):
                 real, end = file.column("real", k), np.flatnonzero(file.column("end", k)) + 1
                 ids = file.column("ids", k)[real].astype("<u4")
                 at = 0
@@ -186,7 +204,7 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
                 n = len(sizes[cut])
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), known["doc_id"].slice(at, n).combine_chunks(), pa.array(starts[cut].astype(np.int64)), pa.array(sizes[cut], pa.int64()), pa.array(crc[cut], pa.int64())], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    found = spark.range(0, last, 1, last).select(F.col("id").alias("shard")).mapInArrow(run, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    found = spark.range(0, last, 1, last).select(F.col("id").alias("shard")).mapInArrow(released(run), "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return found.join(sized(bases, 16), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
