@@ -175,6 +175,109 @@ def test_containers(spark):
     assert one(spark, formats.kv_line(F.lit(" a=1  b==2 a=3 ")))[0] == {"a": "3", "b": "=2"}
 
 
+def fnv(data):
+    """The published offset and prime."""
+    h = 2166136261
+    for b in data:
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return h
+
+
+def test_checksums_against_a_loop(spark):
+    import random
+
+    from tidewell.functions.checksums import fnv1a, fnv_of_strings
+
+    rng = random.Random(1)
+    parts = [b"", b"a", *(rng.randbytes(rng.choice([0, 1, 7, 40, 300])) for _ in range(300)), rng.randbytes(20_000), rng.randbytes(9_000)]
+    assert fnv_of_strings(parts).tolist() == [fnv(p) for p in parts] and fnv_of_strings([]).tolist() == [] and fnv(b"foobar") == 0xBF9CF968
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(parts)] + [(-1, None)], "i int, b binary").repartition(3)
+    assert {r.i: r.c for r in rows.select("i", fnv1a(F.col("b")).alias("c")).collect()} == {i: fnv(p) for i, p in enumerate(parts)} | {-1: None}
+
+
+def test_batches_against_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), i, rng.choice([0, 5, 30, 60, 500]), rng.random() < 0.05) for i in range(3000)]
+    df = spark.createDataFrame(rows, "store long, seq long, bytes long, barrier boolean")
+    for most, most_bytes in ((8, 100), (3, 0), (1, 40), (100, 1000)):
+        want = {}
+        for store in range(4):
+            batch = count = used = 0
+            first = True
+            for s, seq, size, barrier in rows:
+                if s != store:
+                    continue
+                if not first and (barrier or count >= most or most_bytes and count and used + size > most_bytes):
+                    batch, count, used = batch + 1, 0, 0
+                want[seq], first = batch, False
+                count, used = (most if barrier else count + 1), used + size
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        got = {r.seq: r.batch for r in batching.by_bytes(df, most, most_bytes).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
+def test_running_bytes_of_a_hot_key_in_chunks(spark):
+    rows = [(i, 0, 1 + (i % 5 == 4), I(0 if i % 3 else i % 7), b"x" * (i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, LOG)
+    latest, total, want = {}, 0, {}
+    for i, _, op, key, value in rows:
+        size = 20 + 5 + (len(value) if op == 1 else 0)
+        latest[key], total = size, total + size
+        want[i // 4] = (total, sum(latest.values()))
+    assert {r.batch: (r.total_bytes, r.live_bytes) for r in accounting.running_account(df, F.expr("seq div 4")).collect()} == want
+    small = accounting.last_before(df.select("key_enc", F.col("seq").alias("at"), F.col("op").alias("v")), ["key_enc"], "at", "v", "b", chunk=8)
+    before, seen = {}, {}
+    for i, _, op, key, _ in rows:
+        before[i], seen[key] = seen.get(key, 0), op
+    assert {r["at"]: r.b for r in small.collect()} == before
+
+
+def test_replay_of_compactions_against_a_loop(spark):
+    import random
+
+    from tidewell.operators import store
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), i, rng.randrange(12), rng.choice([25, 40, 90])) for i in range(900)]
+    rows = [(s, i // 30, i, bytes([k]), n) for s, i, k, n in rows]
+    options = Options(auto_compact_wal_bytes_threshold=900, auto_compact_invalid_wal_ratio_percent=55)
+    got = {(r.store, r.batch): (r.total_bytes, r.live_bytes, r.compacted) for r in store.replay(spark.createDataFrame(rows, "store long, batch long, seq long, key_enc binary, bytes long"), options).collect()}
+    want, total, latest = {}, {}, {}
+    for b in range(30):
+        for s in {r[0] for r in rows if r[1] == b}:
+            for _, _, _, k, n in (r for r in rows if r[:2] == (s, b)):
+                total[s] = total.get(s, 0) + n
+                latest.setdefault(s, {})[k] = n
+            live = sum(latest[s].values())
+            full = total[s] >= 900 or 100 * (total[s] - live) >= 55 * total[s]
+            want[s, b] = (total[s], live, full)
+            if full:
+                total[s], latest[s] = 0, {}
+    assert got == want and any(x[2] for x in want.values())
+    none = store.replay(spark.createDataFrame(rows, "store long, batch long, seq long, key_enc binary, bytes long"), Options())
+    assert none.where("compacted").count() == 0
+
+
+def test_files_by_uri_and_rewriting(spark, tmp_path):
+    folder = f"file://{tmp_path}/stores"
+    assert files.create_if_missing(f"{folder}/snapshots/new") and not files.create_if_missing(f"{folder}/snapshots/new") and files.file_size(f"{folder}/snapshots/new") == 16
+    assert files.file_size(f"{folder}/none") == 0 and files.listed(f"{folder}/snapshots") == [f"{folder}/snapshots/new"]
+    one = log(spark, ("put", I(3), "z"), ("delete", I(1)), ("put", I(3), "y")).selectExpr("'old' AS store", "1 AS version", "X'AABB' AS tail", "*")
+    assert {r.store: r.bytes for r in files.write_stores(one, f"{folder}/logs", "log").collect()} == {"old": 20 * 3 + 2 + 2}
+    base = spark.createDataFrame([("old", 1, I(1), b"a"), ("old", 1, I(2), b"b")], "store string, version int, key_enc binary, value binary")
+    files.write_stores(base, f"{folder}/snapshots", "snapshot")
+    seen = {r.store: r for r in files.load(spark, folder, "inspect").collect()}
+    assert (seen["old"].version, seen["old"].entries, seen["old"].records, seen["old"].log_truncated, seen["old"].first_type) == (1, 2, 3, 1, 1)
+    assert (seen["new"].entries, seen["new"].log_exists, seen["new"].rewrite_recommended, seen["new"].size) == (0, 0, 0, 16)
+    files.rewritten(spark, folder, f"{folder}2")
+    after = {r.store: r for r in files.load(spark, f"{folder}2", "inspect").collect()}
+    assert {n: (r.version, r.entries, r.log_exists, r.log_size, r.rewrite_recommended) for n, r in after.items()} == {"old": (2, 2, 1, 0, 0), "new": (2, 0, 1, 0, 0)}
+    assert content(state.current_state(files.load(spark, f"{folder}2/snapshots", "snapshot"))) == {I(2): "b", I(3): "y"}
+
+
 def test_binary_files(spark, tmp_path):
     rows = [(1, I(3), b"v1"), (2, I(3), None), (1, S("k"), b""), (1, b"\x03\x00\xff", b"x")]
     data = files.log_bytes(rows)
@@ -191,7 +294,7 @@ def test_binary_files(spark, tmp_path):
     # The first format: an int key in place of the key's size.
     old = files.HEADER.pack(files.SNAPSHOT_MAGIC, 1, 0) + files.ENTRY.pack(files.ENTRY_MAGIC, 2, 1) + b"z"
     assert list(files.read_snapshot(io.BytesIO(old))) == [(I(2), b"z")]
-    checksum = files.fnv(bytes([1]), (3).to_bytes(4, "little"), (1).to_bytes(4, "little"), b"q")
+    checksum = fnv(bytes([1]) + (3).to_bytes(4, "little") + (1).to_bytes(4, "little") + b"q")
     record = files.RECORD.pack(files.RECORD_MAGIC, 1, 1, 0, 3, 1, checksum) + b"q"
     assert list(files.read_log(io.BytesIO(record))) == [(1, I(3), b"q")]
     seen = files.inspect(io.BytesIO(snapshot), io.BytesIO(data + b"\xaa"))
@@ -218,8 +321,67 @@ def test_stream_restarts_and_repeats(spark, tmp_path):
     second.write.parquet(f"{tmp_path}/in/y.parquet")
     s.start(stream(), f"{tmp_path}/cp").awaitTermination()
     assert content(s.state()) == {I(2): "b"}
-    s.apply(second, s.versions()[-1])  # the last batch once more
-    assert content(s.state()) == {I(2): "b"}
+    s.apply(second, 1)  # the last batch once more
+    assert content(s.state()) == {I(2): "b"} and s.versions() == []
+    s.compact()
+    s.compact()  # nothing is left to fold
+    assert s.versions() == [1] and content(s.state()) == {I(2): "b"} and s.log().count() == 0
+    assert [tuple(r) for r in s.compactions().collect()] == [(1, "manual", 16 + 12 + 5 + 1, 26 + 26 + 25)]
+    s.apply(first, 0)  # a batch that a base holds already
+    assert content(s.state()) == {I(2): "b"} and s.account().first().total_bytes == 0
+
+
+def test_stream_compacts_by_its_options_and_survives_faults(spark, tmp_path):
+    from tidewell.streaming.changelog import FAILPOINTS, StoreFatal, StreamedState
+
+    batch = lambda n: log(spark, ("put", I(n % 3), f"v{n}"), ("delete", I((n + 1) % 3)), ("put", S("k"), str(n))).withColumn("seq", F.col("seq") + 10 * n)
+    options, folder = Options(auto_compact_wal_bytes_threshold=150), f"file://{tmp_path}/s"
+    want = lambda n: {k: v for k, v in [(I(n % 3), f"v{n}"), (S("k"), str(n))] + [(I(i), f"v{m}") for i in range(3) for m in [max((x for x in range(n) if x % 3 == i), default=-1)] if i not in (n % 3, (n + 1) % 3) and m >= 0 and not any((x + 1) % 3 == i for x in range(m + 1, n + 1))]}
+    for n in range(6):
+        name = FAILPOINTS[n % 3] if n in (1, 3, 5) else None
+
+        def fail(at, name=name):
+            if at == name:
+                raise OSError(at)
+
+        store = StreamedState(spark, folder, options, fail)
+        try:
+            store.apply(batch(n), n)
+        except OSError:
+            with pytest.raises(StoreFatal, match=name):
+                store.apply(batch(n), n)
+            with pytest.raises(StoreFatal):
+                store.compact()
+            store = StreamedState(spark, folder, options)  # reopened, the batch comes again
+            store.apply(batch(n), n)
+        assert content(store.state()) == want(n)
+    assert store.versions() and store.compactions().where("kind = 'auto' and reclaimed_bytes >= 150").count() == store.compactions().count() > 0
+
+
+def test_stream_folds_a_log_of_many_batches(spark, tmp_path, monkeypatch):
+    from tidewell.streaming.changelog import StreamedState
+
+    monkeypatch.setattr(StreamedState, "MOST", 2)
+    s = StreamedState(spark, f"file://{tmp_path}/s")
+    for n in range(5):
+        s.apply(log(spark, ("put", I(n), str(n))), n)
+    assert s.versions() and content(s.state()) == {I(n): str(n) for n in range(5)}
+
+
+def test_stress_and_microbench(spark, tmp_path):
+    import json
+
+    from tidewell.plans import workload
+    from tidewell.sources import results
+
+    row = workload.stress(spark, f"file://{tmp_path}/stress", "recovery-heavy", requests=300, batches=4)
+    got = json.loads(results.stress_json(row).first()[0])
+    assert list(got) == results.STRESS_JSON and (got["profile"], got["committed_write_requests"], got["batch_put_operations"] + got["batch_delete_operations"]) == ("recovery-heavy", 300, 900)
+    assert got["auto_compactions_completed"] > 0 and row.select(results.stress_line()).first()[0].startswith("[STRESS] profile=recovery-heavy duration_seconds=")
+    assert [r.status for r in results.qualified(row, 0).union(results.qualified(row)).collect()] == ["pass", "fail"]
+    cases = workload.microbench(spark, f"file://{tmp_path}/micro", requests=50)
+    got = json.loads(results.microbench_json(cases).first()[0])["cases"]
+    assert [c["name"] for c in got] == ["wal_append", "scan", "recovery", "compaction", "rewrite"] and got[1]["bytes"] == 1331 and list(got[0]) == ["name", "duration_s", "ops_per_s", "operations", "bytes"]
 
 
 def test_results(spark, tmp_path):
@@ -231,3 +393,87 @@ def test_results(spark, tmp_path):
     assert [tuple(r) for r in benchmark_results(result_files(spark, str(tmp_path)), ["write_ops_per_s"]).collect()] == [("b.json", 12.5)]
     assert microbench_cases(result_files(spark, str(tmp_path), True)).first().ops_per_s == 900.0
     assert to_json(spark.range(1).select(F.lit(1).alias("b"), F.lit(None).cast("int").alias("a"))).first()[0] == '{"b":1,"a":null}'
+
+
+def test_commands(spark, tmp_path):
+    import json
+
+    from tidewell.__main__ import run
+    from tidewell.sources import results
+
+    assert run(spark, "nothing", [])[0] == 1 and run(spark, "profile-json", ["nope"])[0] == 1
+    assert json.loads(run(spark, "profile-json", ["low-latency"])[1][0])["max_batch_size"] == 8
+    assert run(spark, "soak-profiles", [])[1][0] == "profile=balanced writer_count=4 reader_count=2 key_space=256 compaction_interval_ms=50 max_batch_size=32 max_batch_delay_us=2000"
+    base, good, bad = (1000.0, 2000, 100, 1000, 1200, 200, 500), (900.0, 1800, 115, 1300, 1800, 250, 450), (700.0, 1500, 140, 1700, 2300, 400, 300)
+    for name, values in (("a", base), ("b", good), ("c", bad)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"metrics": dict(zip(trends.GATES, values, strict=True))}))
+    path = lambda n: f"{tmp_path}/{n}.json"
+    status, out = run(spark, "compare-baseline", [path("a"), path("b")])
+    assert status == 0 and out[0].endswith("min_batch_fill_ratio_pct=75.0 status=pass") and " write_ratio_pct=90.0 " in out[0]
+    assert run(spark, "compare-baseline", [path("a"), path("c")])[0] == 2
+    assert "count=3 oldest_file=a.json latest_file=c.json recent_window_count=2 avg_write_ops_per_s=" in run(spark, "trend-baselines", [str(tmp_path), "2"])[1][0]
+    trend = json.loads(run(spark, "trend-baselines-json", [str(tmp_path), "2"])[1][0])
+    assert trend["write_trend"] == "regressing" and trend["latency_trend"] == "regressing" and list(trend)[:4] == ["count", "oldest_file", "latest_file", "recent_window_count"]
+    for name, ops in (("1", 100), ("2", 79)):
+        (tmp_path / f"microbench-{name}.json").write_text(json.dumps({"cases": [{"name": "scan", "duration_s": 1.0, "ops_per_s": ops, "operations": 5, "bytes": 6}]}))
+    status, out = run(spark, "compare-microbench", [path("microbench-1"), path("microbench-2")])
+    assert status == 2 and out[0].endswith("scan_ops_ratio_pct=79.0 scan_min_ratio_pct=80.0 status=fail")
+    assert json.loads(run(spark, "trend-microbench-json", [str(tmp_path)])[1][0])["cases"][0]["trend"] == "regressing"
+    folder = f"file://{tmp_path}/stores"
+    files.write_stores(log(spark, ("put", I(1), "a")).selectExpr("'s' AS store", "X'AA' AS tail", "*"), f"{folder}/logs", "log")
+    files.create_if_missing(f"{folder}/snapshots/s")
+    status, out = run(spark, "verify", [folder])
+    assert status == 2 and out[0].endswith("wal_truncated=1 rewrite_recommended=1 verify_reason=wal_truncated")
+    assert run(spark, "rewrite", [folder, f"{folder}2"]) == (0, ["store=s snapshot_bytes=34"]) and run(spark, "verify", [f"{folder}2"])[0] == 0
+    options = spark.createDataFrame([(1,)], "max_batch_size long")
+    metrics = spark.createDataFrame([tuple(range(54)) + ([0] * 12,)], ", ".join(f"{m} long" for m in results.METRICS[:-1]) + ", write_latency_histogram array<long>")
+    nested = json.loads(results.benchmark_json("x", {"writers": 8}, {"writes": 1.5}, options, metrics).first()[0])
+    assert list(nested) == ["label", "workload", "summary", "options", "metrics"] and len(nested["metrics"]) == 55
+
+
+def test_objective_against_a_loop(spark):
+    import random
+
+    random.seed(6)
+    rows = [tuple(random.choice([0, 1, 7, 8, 64, 200, 350, 701, 13000]) for _ in policy.SIGNALS) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{s} long" for s in policy.SIGNALS))
+    score = lambda v, scale, w: 0 if not v or not scale else min(4000, v * 1000 // scale) * w
+    for o in (RECOMMENDED["balanced"], RECOMMENDED["low-latency"], Options(adaptive_objective_enabled=True, adaptive_objective_long_delay_multiplier=1, adaptive_objective_target_batch_size=9)):
+        modes = set()
+        for r in policy.with_policy(df, o.sane()).collect():
+            scale = o.adaptive_queue_depth_threshold if o.adaptive_batching_enabled else o.max_batch_size
+            pressure = score(max(r.request_queue_depth, r.recent_peak_queue_depth), scale, o.adaptive_objective_queue_weight) + score(r.observed_p95_us, o.adaptive_latency_target_p95_us, o.adaptive_objective_latency_weight)
+            pressure += score(r.recent_read_ratio, o.adaptive_read_heavy_read_per_1000_ops_threshold, o.adaptive_objective_read_weight)
+            target = o.adaptive_objective_target_batch_size
+            lack = 0 if not target or r.recent_avg_batch_size >= target else (target - r.recent_avg_batch_size) * 1000 // target * o.adaptive_objective_throughput_weight
+            cost = lack + score(r.observed_fsync_pressure, o.adaptive_fsync_pressure_per_1000_writes_threshold, o.adaptive_objective_fsync_weight)
+            cost += score(r.current_obsolete_ratio, o.adaptive_compaction_pressure_obsolete_ratio_percent_threshold, o.adaptive_objective_compaction_weight)
+            cost += score(r.recent_avg_batch_wal_bytes, o.adaptive_wal_growth_bytes_per_batch_threshold, o.adaptive_objective_wal_growth_weight)
+            delay, mode = o.max_batch_delay_us, 0
+            if pressure >= cost + o.adaptive_objective_short_delay_score_threshold and delay > o.adaptive_flush_min_batch_delay_us:
+                mode, delay = 1, max(o.adaptive_flush_min_batch_delay_us, delay // o.adaptive_objective_short_delay_divisor)
+            elif cost >= pressure + o.adaptive_objective_long_delay_score_threshold and o.adaptive_objective_long_delay_multiplier > 1:
+                mode, delay = -1, min(delay * o.adaptive_objective_long_delay_multiplier, o.adaptive_objective_max_batch_delay_us or 2**32 - 1)
+            assert (r.objective_pressure_score, r.objective_cost_score, r.objective_throughput_score, r.objective_mode, r.batch_delay_us) == (pressure, cost, lack, mode, delay)
+            modes.add(mode)
+        assert modes == {1, -1, 0} or o.adaptive_objective_long_delay_multiplier == 1
+
+
+def test_bad_int_key_text_raises(spark):
+    from tidewell.operators.state import int_text_key
+
+    assert bytes(one(spark, int_text_key(F.lit("-7")))[0]) == I(-7)
+    for text in ("", "x1", "2147483648"):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|NUMERIC_VALUE_OUT_OF_RANGE|CAST_OVERFLOW"):
+            one(spark, int_text_key(F.lit(text)))
+
+
+def test_factories_by_key_type(spark):
+    from tidewell.operators import state as st
+
+    made = [st.put_int(F.lit(0), F.lit(5), F.lit(b"a")), st.put_string(F.lit(1), F.lit("5"), F.lit(b"b")), st.put_binary(F.lit(2), F.lit(b"5"), F.lit(b"c")), st.delete_int(F.lit(3), F.lit(5)), st.delete_string(F.lit(4), F.lit("x")), st.delete_binary(F.lit(5), F.lit(b"x"))]
+    df = None
+    for columns in made:
+        row = spark.range(1).select(*columns)
+        df = row if df is None else df.union(row)
+    assert content(state.current_state(df)) == {S("5"): "b", b"\x035": "c"}

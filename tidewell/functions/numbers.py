@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.checksums import fnv1a
+
 #: Bytes before key and value of a log record, of a snapshot entry, and of a snapshot.
 RECORD_BYTES, ENTRY_BYTES, SNAPSHOT_BYTES = 20, 12, 16
 #: Upper bounds of the latency buckets in microseconds; a twelfth bucket holds the rest.
 BOUNDS = [50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000, 100000]
-#: Offset and prime of 32-bit FNV-1a.
-FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 #: A signal counts as four times its scale at most, in thousandths; from where a ratio is a trend.
 RATIO_CAP, IMPROVING, REGRESSING = 4000, 105.0, 95.0
 U32, I64 = 4294967295, 9223372036854775807
@@ -29,13 +29,6 @@ def entry_bytes(key: Column, value: Column) -> Column:
     return F.lit(ENTRY_BYTES) + size_of(key) + size_of(value)
 
 
-def fnv1a(hexed: Column) -> Column:
-    """32-bit FNV-1a over bytes given as hex digits."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(hexed), F.lit(1)), F.lit(2))
-    step = lambda h, i: ((h.bitwiseXOR(F.coalesce(F.conv(F.substr(hexed, i, F.lit(2)), 16, 10).cast("long"), F.lit(0)))) * FNV_PRIME).bitwiseAND(F.lit(U32))
-    return F.when(F.length(hexed) == 0, F.lit(FNV_OFFSET).cast("long")).otherwise(F.aggregate(at, F.lit(FNV_OFFSET).cast("long"), step))
-
-
 def u32_hex(n: Column) -> Column:
     """Hex digits of four bytes, lowest first."""
     h = F.lpad(F.hex(n.cast("long").bitwiseAND(F.lit(U32))), 8, "0")
@@ -46,14 +39,14 @@ def record_checksum(op: Column, key: Column, value: Column) -> Column:
     """Over type, both sizes, key and value."""
     kind = F.lpad(F.hex(op.cast("long")), 2, "0")
     value = F.when(op == 1, value).otherwise(F.lit(b""))
-    return fnv1a(F.concat(kind, u32_hex(size_of(key)), u32_hex(size_of(value)), F.hex(key), F.hex(F.coalesce(value, F.lit(b"")))))
+    return fnv1a(F.concat(F.unhex(F.concat(kind, u32_hex(size_of(key)), u32_hex(size_of(value)))), key, F.coalesce(value, F.lit(b""))))
 
 
 def old_record_checksum(op: Column, int_key: Column, value: Column) -> Column:
     """The first format's: over type, the raw int key, the value's size and the value."""
     kind = F.lpad(F.hex(op.cast("long")), 2, "0")
     value = F.coalesce(F.when(op == 1, value), F.lit(b""))
-    return fnv1a(F.concat(kind, u32_hex(int_key), u32_hex(size_of(value)), F.hex(value)))
+    return fnv1a(F.concat(F.unhex(F.concat(kind, u32_hex(int_key), u32_hex(size_of(value)))), value))
 
 
 def latency_bucket(us: Column) -> Column:

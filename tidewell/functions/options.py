@@ -117,6 +117,39 @@ STRESS = {
 FAMILIES = {"recommended": RECOMMENDED, "soak": SOAK, "stress": STRESS}
 
 
+#: The workloads of the soak and stress profiles.
+SOAK_LOADS = {
+    "balanced": {"writer_count": 4, "reader_count": 2, "key_space": 256, "compaction_interval_ms": 50},
+    "write-heavy": {"writer_count": 6, "reader_count": 1, "key_space": 512, "compaction_interval_ms": 80},
+    "read-heavy": {"writer_count": 2, "reader_count": 6, "key_space": 256, "compaction_interval_ms": 30},
+}
+_STRESS_LOAD = {"writer_count": 8, "reader_count": 4, "compactor_count": 1, "keys_per_writer": 96, "compaction_interval_ms": 5, "batch_width": 4, "recovery_reopen_cycles": 1}
+STRESS_LOADS = {
+    "balanced": _STRESS_LOAD,
+    "write-heavy": _STRESS_LOAD | {"writer_count": 12, "reader_count": 2, "keys_per_writer": 128, "compaction_interval_ms": 8},
+    "compaction-heavy": _STRESS_LOAD | {"writer_count": 6, "reader_count": 3, "compactor_count": 2, "keys_per_writer": 80, "compaction_interval_ms": 1},
+    "recovery-heavy": _STRESS_LOAD | {"writer_count": 4, "reader_count": 1, "keys_per_writer": 64, "compaction_interval_ms": 2, "batch_width": 3, "recovery_reopen_cycles": 6},
+}
+#: What a summary of a profile shows of its options.
+SUMMARIES = {
+    "soak": (SOAK, SOAK_LOADS, ["max_batch_size", "max_batch_delay_us"]),
+    "stress": (STRESS, STRESS_LOADS, ["max_batch_size", "max_batch_delay_us", "auto_compact_wal_bytes_threshold"]),
+}
+
+
+def profile_summaries(spark: SparkSession, family: str) -> DataFrame:
+    """A row for each soak or stress profile: its workload, and the options that shape it."""
+    presets, loads, shown = SUMMARIES[family]
+    rows = [(name, *loads[name].values(), *(getattr(o, n) for n in shown)) for name, o in presets.items()]
+    names = [*next(iter(loads.values())), *shown]
+    return spark.createDataFrame(rows, "profile string, " + ", ".join(f"{n} long" for n in names))
+
+
+def profile_name(options: Options, family: str = "recommended") -> str:
+    """The name of a preset; `unknown` for other options."""
+    return next((name for name, o in FAMILIES[family].items() if o == options), "unknown")
+
+
 def profile(name: str, family: str = "recommended") -> Options | None:
     """None for an unknown name."""
     return FAMILIES[family].get(name)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,31 @@ def by_bytes(requests: DataFrame, most: int, most_bytes: int) -> DataFrame:
         store, batch, count, used = object(), 0, 0, 0
         for b in batches:
             out = np.empty(b.num_rows, np.int64)
-            stores, sizes = b.column("store").to_pylist(), b.column("bytes").to_pylist()
-            for i, (s, size, barrier) in enumerate(zip(stores, sizes, b.column("barrier").to_pylist(), strict=True)):
-                if s != store:
-                    store, batch, count, used = s, 0, 0, 0
-                elif barrier or count >= most or most_bytes and count and used + size > most_bytes:
-                    batch, count, used = batch + 1, 0, 0
-                out[i] = batch
-                count, used = (most if barrier else count + 1), used + size
+            stores, sizes = b.column("store"), b.column("bytes").to_numpy(zero_copy_only=False).astype(np.int64)
+            alone = np.flatnonzero(b.column("barrier").to_numpy(zero_copy_only=False))
+            ends = np.append(np.flatnonzero(pa.compute.not_equal(stores[1:], stores[:-1]).to_numpy(zero_copy_only=False)) + 1, b.num_rows)
+            run_bytes = np.concatenate([[0], np.cumsum(sizes)])
+            at = 0
+            for end in ends.tolist():
+                if at < end and (own := stores[at].as_py()) != store:
+                    store, batch, count, used = own, 0, 0, 0
+                while at < end:  # a batch, or what the rows before have left of it, at a time
+                    k = int(np.searchsorted(alone, at))
+                    barrier = int(alone[k]) if k < len(alone) else end
+                    if barrier == at:
+                        batch += count > 0
+                        out[at] = batch
+                        at, count, used = at + 1, most, 0
+                        continue
+                    to = min(end, barrier, at + most - count)
+                    if most_bytes:  # as many as stay within the bytes; the first of a batch always goes in
+                        fits = int(np.searchsorted(run_bytes, run_bytes[at] + most_bytes - used, side="right")) - 1
+                        to = min(to, max(fits, at + (count == 0)))
+                    if to <= at:
+                        batch, count, used = batch + 1, 0, 0
+                        continue
+                    out[at:to] = batch
+                    count, used, at = count + to - at, used + int(run_bytes[to] - run_bytes[at]), to
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], schema=b.schema.append(pa.field("batch", pa.int64())))
 
     return requests.repartition("store").sortWithinPartitions("store", "seq").mapInArrow(run, schema)

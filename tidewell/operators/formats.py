@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.numbers import align_up, fnv1a, u32_hex
+from tidewell.functions.checksums import fnv1a
+from tidewell.functions.numbers import align_up, u32_hex
 
 #: Magic, header and section sizes of a container, and its sections in order.
 CONTAINER_MAGIC, CONTAINER_HEADER, SECTION_HEADER = b"KVCNTR01", 32, 24
@@ -60,7 +61,7 @@ def container_checksum(sections: int, version: Column, flags: Column, rows: Colu
     size = F.lit(CONTAINER_HEADER + SECTION_HEADER * sections)
     head = F.concat(F.lit(CONTAINER_MAGIC.hex().upper()), u32_hex(version), u32_hex(size), u32_hex(F.lit(sections)), u32_hex(flags), F.lit("0" * 16))
     body = F.array_join(F.transform(rows, lambda s: F.concat(u32_hex(s["type"]), u32_hex(s["flags"]), u64(s["offset"].cast("long")), u64(s["length"].cast("long")))), "")
-    return fnv1a(F.concat(head, body))
+    return fnv1a(F.unhex(F.concat(head, body)))
 
 
 def has_container_magic(data: Column) -> Column:

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def running_sum(df: DataFrame, at: str, columns: dict[str, str], chunk: int = CHUNK) -> DataFrame:
-    """df with, for each (new, old) of columns, the sum of old up to this row; at: unique long."""
-    part = F.expr(f"{at} div {chunk}").alias("_chunk")
-    rows = df.withColumn("_chunk", part)
-    totals = rows.groupBy("_chunk").agg(*(F.sum(old).alias(f"_t_{new}") for new, old in columns.items()))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
-    bases = totals.select("_chunk", *(F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in columns))
-    within = Window.partitionBy("_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumns({f"_w_{new}": F.sum(old).over(within) for new, old in columns.items()}).join(bases, "_chunk")
+def running_sum(df: DataFrame, at: str, columns: dict[str, str], chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    """df with, for each (new, old) of columns, the sum of old up to this row; at: long, unique within `by` (all rows if none)."""
+    by = by or []
+    rows = df.withColumn("_chunk", F.expr(f"{at} div {chunk}"))
+    totals = rows.groupBy(*by, "_chunk").agg(*(F.sum(old).alias(f"_t_{new}") for new, old in columns.items()))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    bases = totals.select(*by, "_chunk", *(F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in columns))
+    within = Window.partitionBy(*by, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"_w_{new}": F.sum(old).over(within) for new, old in columns.items()}).join(bases, [*by, "_chunk"])
     return out.select(*df.columns, *((F.col(f"_w_{new}") + F.col(f"_b_{new}")).alias(new) for new in columns))
 
 
@@ -38,11 +38,7 @@ def sliding(df: DataFrame, at: str, rows: int, columns: dict[str, callable], chu
     return out.where(F.col("_chunk") == own).select(*df.columns, *columns)
 
 
-def numbered(df: DataFrame, order: str, name: str, chunk: int = CHUNK) -> DataFrame:
-    """df with `name` counting 0, 1, 2, ... in the order of a unique long column."""
+def numbered(df: DataFrame, order: str, name: str, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    """df with `name` counting 0, 1, 2, ... in the order of a long column, unique within `by`."""
     ones = df.withColumn("_one", F.lit(1))
-    return running_sum(ones, order, {name: "_one"}, chunk).drop("_one").withColumn(name, F.col(name) - 1)
-
-
-def earlier(column: Column, frame_order: str, by: str) -> Column:
-    return F.lag(column).over(Window.partitionBy(by).orderBy(frame_order))
+    return running_sum(ones, order, {name: "_one"}, chunk, by).drop("_one").withColumn(name, F.col(name) - 1)

@@ -112,7 +112,3 @@ def with_policy(signals: DataFrame, options: Options) -> DataFrame:
 
 POLICY = ["max_batch_size", "max_batch_wal_bytes", "batch_delay_us", "observed_queue_depth", "objective_pressure_score", "objective_cost_score", "objective_throughput_score", "objective_balance_score", "objective_mode", *FLAGS]
 
-
-def policy_counts(policies: DataFrame) -> DataFrame:
-    """In how many rows each flag is set."""
-    return policies.agg(*(F.count_if(f).alias(f) for f in FLAGS))

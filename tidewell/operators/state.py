@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.keys import key_kind, string_key
+from tidewell.functions.keys import binary_key, int_key, key_kind, string_key
 
 PUT, DELETE = 1, 2
 
@@ -27,6 +27,35 @@ def mutation(seq: Column, op: Column, key: Column, value: Column, sub_seq: Colum
     return [seq.cast("long").alias("seq"), sub_seq.cast("int").alias("sub_seq"), op.cast("int").alias("op"), key.alias("key_enc"), value.alias("value")]
 
 
+def put_int(seq: Column, key: Column, value: Column, sub_seq: Column | None = None) -> list[Column]:
+    return put(seq, int_key(key), value, sub_seq)
+
+
+def put_string(seq: Column, key: Column, value: Column, sub_seq: Column | None = None) -> list[Column]:
+    return put(seq, string_key(key), value, sub_seq)
+
+
+def put_binary(seq: Column, key: Column, value: Column, sub_seq: Column | None = None) -> list[Column]:
+    return put(seq, binary_key(key), value, sub_seq)
+
+
+def delete_int(seq: Column, key: Column, sub_seq: Column | None = None) -> list[Column]:
+    return delete(seq, int_key(key), sub_seq)
+
+
+def delete_string(seq: Column, key: Column, sub_seq: Column | None = None) -> list[Column]:
+    return delete(seq, string_key(key), sub_seq)
+
+
+def delete_binary(seq: Column, key: Column, sub_seq: Column | None = None) -> list[Column]:
+    return delete(seq, binary_key(key), sub_seq)
+
+
+def int_text_key(text: Column) -> Column:
+    """An int key from its text; text that isn't a 32-bit integer raises."""
+    return int_key(F.call_function("int", text))
+
+
 def batch_changes(requests: DataFrame) -> DataFrame:
     """Requests with ops, an array of (op, key_enc, value), as changes in order; an empty batch has none."""
     return requests.select("request_id", F.posexplode("ops")).select(*mutation(F.col("request_id"), F.col("col.op"), F.col("col.key_enc"), F.col("col.value"), F.col("pos")))

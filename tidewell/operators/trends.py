@@ -56,13 +56,17 @@ def trend(files: DataFrame, recent: int, by: list[str], measures: dict[str, str]
     """Min, max, average, average of the last `recent` files, latest against oldest and recent, for each group of `by`."""
     if recent < 1:
         raise ValueError("the recent window must hold a file at least")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("file_name")))  # a group holds a row for each file
-    rows, r = files.withColumn("_rank", rank), F.col("_rank") <= recent
-    aggs = [F.count("*").alias("count"), F.min("file_name").alias("oldest_file"), F.max("file_name").alias("latest_file"), F.count_if(r).alias("recent_window_count")]
+    aggs = [F.count("*").alias("count"), F.min("file_name").alias("oldest_file"), F.max("file_name").alias("latest_file")]
     for name, m in measures.items():
-        aggs += [F.min(m).alias(f"min_{name}"), F.max(m).alias(f"max_{name}"), F.avg(m).alias(f"avg_{name}"), F.avg(F.when(r, F.col(m))).alias(f"recent_avg_{name}")]
+        aggs += [F.min(m).alias(f"min_{name}"), F.max(m).alias(f"max_{name}"), F.avg(m).alias(f"avg_{name}")]
         aggs += [F.min_by(m, "file_name").alias(f"_first_{name}"), F.max_by(m, "file_name").alias(f"_last_{name}")]
-    out = (rows.groupBy(*by) if by else rows).agg(*aggs)
+    if by:  # a rank of `recent` at most is cut before the shuffle
+        last = files.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("file_name")))).where(F.col("_rank") <= recent)
+    else:
+        by, files = ["_all"], files.withColumn("_all", F.lit(0))
+        last = files.orderBy(F.desc("file_name")).limit(recent)
+    tail = last.groupBy(*by).agg(F.count("*").alias("recent_window_count"), *(F.avg(m).alias(f"recent_avg_{name}") for name, m in measures.items()))
+    out = files.groupBy(*by).agg(*aggs).join(tail, by).drop("_all")
     for name in measures:
         kind = latency_trend if name == "latency" else throughput_trend
         last = F.col(f"_last_{name}")
@@ -73,8 +77,7 @@ def trend(files: DataFrame, recent: int, by: list[str], measures: dict[str, str]
 
 def baseline_trend(files: DataFrame, recent: int = 5) -> DataFrame:
     """files: file_name and the three measures."""
-    one = files.withColumn("_all", F.lit(0))
-    return trend(one, recent, ["_all"], MEASURES).drop("_all")
+    return trend(files, recent, [], MEASURES)
 
 
 def case_trend(cases: DataFrame, recent: int = 5) -> DataFrame:

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import numbers as N
 from tidewell.functions.keys import binary_key, int_key, int_of, key_kind, string_key, string_of
-from tidewell.functions.options import FAMILIES, RECOMMENDED, Options, options_frame
-from tidewell.operators import accounting, batching, formats, policy, state, trends
+from tidewell.functions.options import FAMILIES, RECOMMENDED, Options, options_frame, profile_summaries
+from tidewell.operators import accounting, batching, formats, policy, state, store, trends
 from tidewell.operators.ordered import numbered
 from tidewell.plans import views as V
 from tidewell.sources import files
-from tidewell.sources.results import to_line
+from tidewell.sources.results import METRICS, inspect_line, qualified, to_json, to_line
 from tidewell.streaming.changelog import CHANGE, StreamedState
 
+#: Files that a log or a snapshot is written to.
+STORES = 64
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,7 +30,7 @@ LOG = """log AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 2 E
 BATCHES = f"""{LOG}, batches AS (SELECT seq // 64 AS batch, count(*) AS batch_size, CAST(sum(bytes) AS BIGINT) AS wal_bytes,
   count(*) FILTER (event_type = 'purchase') AS queue_depth, count(*) FILTER (event_type = 'view') AS reads FROM log GROUP BY 1)"""
 HEX = "'01' || printf('%08X', {} & 4294967295)"
-BOUNDS = ", ".join(map(str, N.BOUNDS))
+BOUNDS = "50, 100, 250, 500, 1000, 2500, 5000, 10000, 25000, 50000, 100000"
 RECENT = f"""{BATCHES}, w AS (SELECT batch, count(*) OVER r AS n, CAST(sum(batch_size) OVER r AS BIGINT) AS writes, CAST(sum(wal_bytes) OVER r AS BIGINT) AS bytes,
   CAST(sum(reads) OVER r AS BIGINT) AS reads, max(queue_depth) OVER r AS peak FROM batches WINDOW r AS (ORDER BY batch ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)),
 recent AS (SELECT batch, n AS recent_window_batch_count, writes AS recent_write_requests, reads AS recent_read_requests, writes // n AS recent_avg_batch_size,
@@ -110,13 +113,16 @@ def namespace_counts(spark, sf_dir):
 
 @query("kv_key_order", f"SELECT key_hex, row_number() OVER (ORDER BY key_hex) AS place FROM (SELECT DISTINCT {HEX.format('c_custkey')} AS key_hex FROM customer UNION SELECT {HEX.format('-c_custkey')} FROM customer)")
 def key_order(spark, sf_dir):
+    """Places in the order of all keys: counted within each prefix of the key, and then over the prefixes.
+
+    A prefix is a property of a key, so a recomputed task places it alike. A prefix of int keys holds 4096 of them.
+    """
     keys = typed_keys(spark, sf_dir).where("form < 2").select("key_enc").distinct()
-    # Ranks over all keys: ordered ranges first, then places within each, so that no task holds all rows.
-    ranged = keys.repartitionByRange("key_enc").withColumn("part", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("part").orderBy("key_enc"))
-    sizes = ranged.groupBy("part").count()
-    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.withColumn("own", own).join(before, "part").select(F.hex("key_enc").alias("key_hex"), (F.col("own") + F.col("before")).alias("place"))
+    parts = keys.withColumn("part", F.hex(F.substring("key_enc", 1, 3))).withColumn("low", F.substring(F.hex(F.substring("key_enc", 4, 1)), 1, 1))
+    own = F.row_number().over(Window.partitionBy("part", "low").orderBy("key_enc"))
+    sizes = parts.groupBy("part", "low").count()  # a row for each prefix
+    before = sizes.select("part", "low", F.coalesce(F.sum("count").over(Window.orderBy("part", "low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return parts.withColumn("own", own).join(before, ["part", "low"]).select(F.hex("key_enc").alias("key_hex"), (F.col("own") + F.col("before")).alias("place"))
 
 
 @query("kv_record_types", f"WITH {LOG} SELECT count(*) AS records, count(*) FILTER (op = 1) AS puts, count(*) FILTER (op = 2) AS deletes, 0::BIGINT AS unknown FROM log")
@@ -181,12 +187,13 @@ def latency_percentiles(spark, sf_dir):
 
 
 COUNTS = ", ".join(f"count(*) FILTER (bucket <= {k}) OVER w AS c{k}" for k in range(12))
-P95 = "CASE " + " ".join(f"WHEN c{k} >= (c11 * 95 + 99) // 100 THEN {([*N.BOUNDS, 100000])[k]}" for k in range(12)) + " END"
+P95 = "CASE " + " ".join(f"WHEN c{k} >= (c11 * 95 + 99) // 100 THEN {bound}" for k, bound in enumerate([*BOUNDS.split(", "), "100000"])) + " END"
+SAMPLES = f"r AS (SELECT seq, {COUNTS} FROM b WINDOW w AS (ORDER BY seq ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)), p AS (SELECT seq, CAST({P95} AS BIGINT) AS recent_p95_us FROM r)"
 
 
-@query("kv_recent_p95", f"WITH {HISTOGRAM}, r AS (SELECT seq, {COUNTS} FROM b WINDOW w AS (ORDER BY seq ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)) SELECT seq, CAST({P95} AS BIGINT) AS recent_p95_us FROM r WHERE seq % 64 = 63")
+@query("kv_recent_p95", f"WITH {HISTOGRAM}, {SAMPLES} SELECT seq, recent_p95_us FROM p")
 def recent_p95(spark, sf_dir):
-    return accounting.recent_percentile(V.samples(spark, sf_dir), "seq", "elapsed_us", keep=F.col("seq") % V.BATCH == V.BATCH - 1)
+    return accounting.recent_percentile(V.samples(spark, sf_dir), "seq", "elapsed_us")
 
 
 @query("kv_recent_window", f"WITH {RECENT} SELECT * FROM recent")
@@ -235,13 +242,13 @@ def policies(spark, sf_dir) -> DataFrame:
     return out
 
 
-def policy_sql(name: str, o: Options) -> str:
+def policy_sql(name: str, o: Options, source: str = "", key: str = "event_id") -> str:
     """The same rules as nested SQL selects."""
     score = lambda v, s, w: f"(CASE WHEN {v} = 0 OR {s} = 0 THEN 0 ELSE least(4000, {v} * 1000 // {s or 1}) END * {w})"
     t = "true" if o.adaptive_batching_enabled else "false"
     batching = f"({t} AND (d >= {o.adaptive_queue_depth_threshold} OR p >= {o.adaptive_queue_depth_threshold}))"
     names = dict(zip(SIGNAL_RULES, ("d", "p", "rr", "ob", "ab", "aw", "lat", "fs"), strict=True))
-    src = "SELECT event_id, " + ", ".join(f"CAST({rule} AS BIGINT) AS {names[k]}" for k, rule in SIGNAL_RULES.items()) + " FROM events"
+    src = source or f"SELECT {key}, " + ", ".join(f"CAST({rule} AS BIGINT) AS {names[k]}" for k, rule in SIGNAL_RULES.items()) + " FROM events"
     one = f"SELECT *, {batching} AS f_b, CASE WHEN {batching} THEN {o.max_batch_size * o.adaptive_batch_size_multiplier} ELSE {o.max_batch_size} END AS size1, CASE WHEN {batching} THEN {o.max_batch_wal_bytes * o.adaptive_batch_wal_bytes_multiplier} ELSE {o.max_batch_wal_bytes} END AS cap1, {o.max_batch_delay_us} AS d0 FROM ({src})"
     m, boost = o.adaptive_flush_min_batch_delay_us, lambda v, k, cap: f"least({v} * {k}, {cap or 4294967295})"
     if o.adaptive_objective_enabled:
@@ -273,7 +280,7 @@ def policy_sql(name: str, o: Options) -> str:
         last = f"SELECT *, CASE WHEN f_w THEN {boost('d5', o.adaptive_wal_growth_delay_multiplier, o.adaptive_wal_growth_max_batch_delay_us)} ELSE d5 END AS d6 FROM ({seven})"
         values = ["size2", "cap2", "d6", "d", "0", "0", "0", "0", "0", "f_b", "f_f OR f_l", "f_l", "f_s", "f_r", "f_c", "f_w", "false", "false"]
     cast = [f"CAST({v} AS {'BIGINT' if i < 9 else 'BOOLEAN'}) AS {n}" for i, (n, v) in enumerate(zip(policy.POLICY, values, strict=True))]
-    return f"SELECT '{name}' AS profile, event_id, {', '.join(cast)} FROM ({last})"
+    return f"SELECT '{name}' AS profile, {key}, {', '.join(cast)} FROM ({last})"
 
 
 POLICY_SQL = " UNION ALL ".join(policy_sql(n, o) for n, o in POLICIES.items())
@@ -351,16 +358,15 @@ def day_files(spark, sf_dir) -> DataFrame:
     )
 
 
-def gate_sql(m: str) -> str:
-    limit, kind = trends.GATES[m]
-    return f"{m}_pct {'>=' if kind == 'floor' else '<='} {limit}"
+GATES_SQL = """write_ops_per_s_pct >= 85 AND read_ops_per_s_pct >= 85 AND avg_write_latency_us_pct <= 125 AND approx_write_latency_p95_us_pct <= 150
+  AND approx_write_latency_p99_us_pct <= 175 AND observed_fsync_pressure_per_1000_writes_pct <= 150 AND recent_batch_fill_per_1000_pct >= 75"""
 
 
 @query(
     "kv_compare_gate",
     f"""WITH {DAYS}, b AS (SELECT * FROM d WHERE file_name = (SELECT min(file_name) FROM d)),
 r AS (SELECT d.file_name, {", ".join(f"d.{m} / b.{m} * 100 AS {m}_pct" for m in trends.GATES)} FROM d, b)
-SELECT *, {" AND ".join(map(gate_sql, trends.GATES))} AS passed, CASE WHEN {" AND ".join(map(gate_sql, trends.GATES))} THEN 0 ELSE 2 END AS status FROM r""",
+SELECT *, {GATES_SQL} AS passed, CASE WHEN {GATES_SQL} THEN 0 ELSE 2 END AS status FROM r""",
 )
 def compare_gate(spark, sf_dir):
     days = day_files(spark, sf_dir)
@@ -528,16 +534,60 @@ def snapshot_bytes(spark, sf_dir):
     return state.current_state(V.changelog(spark, sf_dir)).agg((N.SNAPSHOT_BYTES + F.coalesce(size, F.lit(0))).alias("snapshot_bytes"))
 
 
-@query("kv_profiles", "SELECT " + " UNION ALL SELECT ".join(", ".join([f"'{n}' AS profile", *(f"{str(v).lower()}::{'BOOLEAN' if isinstance(v, bool) else 'BIGINT'} AS {k}" for k, v in asdict(o).items())]) for n, o in RECOMMENDED.items()))
+#: The recommended options once more, written out: the SQL doesn't take them from the engine.
+OPTION_NAMES = [f.name for f in fields(Options)]
+OPTIONS_SQL = f"""SELECT * FROM (VALUES
+  ('balanced', 32, 1048576, 2000, 64, 512, true, 1, 3, 2, 2, 16, 2, 1, 1, 500, 500, 2, 2, 8000, 700, 4, 2, true, 8, 4, 100, 12000, 350, 2, 8000, 50, 2, 200, 2, 6000, 1048576, 60, true, 8, 4, 4),
+  ('write-heavy', 64, 2097152, 4000, 64, 512, true, 1, 3, 2, 4, 32, 3, 1, 1, 500, 500, 2, 2, 8000, 700, 4, 2, true, 16, 4, 100, 12000, 350, 2, 8000, 50, 2, 200, 2, 6000, 4194304, 70, true, 8, 4, 4),
+  ('read-heavy', 16, 1048576, 1000, 64, 512, true, 1, 4, 4, 1, 16, 2, 1, 1, 500, 500, 2, 2, 8000, 600, 8, 4, true, 4, 4, 100, 12000, 350, 2, 8000, 50, 2, 200, 2, 6000, 1048576, 60, true, 8, 4, 4),
+  ('low-latency', 8, 65536, 500, 64, 512, true, 1, 5, 2, 1, 8, 2, 1, 1, 500, 1500, 4, 2, 8000, 700, 4, 2, true, 2, 8, 50, 4000, 350, 2, 8000, 50, 2, 200, 2, 6000, 1048576, 60, true, 8, 4, 4)
+) AS t(profile, {", ".join(OPTION_NAMES)})"""
+
+
+@query("kv_profiles", f"SELECT profile, {', '.join(f'CAST({n} AS ' + ('BOOLEAN' if n.endswith('_enabled') else 'BIGINT') + f') AS {n}' for n in OPTION_NAMES)} FROM ({OPTIONS_SQL})")
 def profiles(spark, sf_dir):
     return options_frame(spark, {n: o.sane() for n, o in RECOMMENDED.items()})
 
 
-@query("kv_profile_names", "SELECT DISTINCT c_mktsegment AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'balanced' WHEN 'MACHINERY' THEN 'low-latency' END AS profile FROM customer")
+@query("kv_options_json", f"SELECT profile, CAST(json_object({', '.join(f"'{n}', {n}" for n in OPTION_NAMES)}) AS VARCHAR) AS json FROM ({OPTIONS_SQL})")
+def options_json(spark, sf_dir):
+    return profiles(spark, sf_dir).select("profile", F.to_json(F.struct(*OPTION_NAMES)).alias("json"))
+
+
+@query(
+    "kv_soak_profiles",
+    """SELECT profile, a::BIGINT AS writer_count, b::BIGINT AS reader_count, c::BIGINT AS key_space, d::BIGINT AS compaction_interval_ms, e::BIGINT AS max_batch_size, f::BIGINT AS max_batch_delay_us
+FROM (VALUES ('balanced', 4, 2, 256, 50, 32, 2000), ('write-heavy', 6, 1, 512, 80, 64, 4000), ('read-heavy', 2, 6, 256, 30, 16, 1000)) AS t(profile, a, b, c, d, e, f)""",
+)
+def soak_profiles(spark, sf_dir):
+    return profile_summaries(spark, "soak")
+
+
+@query(
+    "kv_stress_profiles",
+    """SELECT profile, a::BIGINT AS writer_count, b::BIGINT AS reader_count, c::BIGINT AS compactor_count, d::BIGINT AS keys_per_writer, e::BIGINT AS compaction_interval_ms, f::BIGINT AS batch_width,
+  g::BIGINT AS recovery_reopen_cycles, h::BIGINT AS max_batch_size, i::BIGINT AS max_batch_delay_us, j::BIGINT AS auto_compact_wal_bytes_threshold
+FROM (VALUES ('balanced', 8, 4, 1, 96, 5, 4, 1, 32, 1500, 4096), ('write-heavy', 12, 2, 1, 128, 8, 4, 1, 64, 2500, 8192), ('compaction-heavy', 6, 3, 2, 80, 1, 4, 1, 24, 800, 2048), ('recovery-heavy', 4, 1, 1, 64, 2, 3, 6, 16, 700, 2048)) AS t(profile, a, b, c, d, e, f, g, h, i, j)""",
+)
+def stress_profiles(spark, sf_dir):
+    return profile_summaries(spark, "stress")
+
+
+NAMES_SQL = "SELECT DISTINCT c_mktsegment AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'balanced' WHEN 'MACHINERY' THEN '{0}' WHEN 'FURNITURE' THEN '{1}' END AS profile, '{2}' AS family FROM customer"
+
+
+@query("kv_profile_names", " UNION ALL ".join(NAMES_SQL.format(*x) for x in (("low-latency", "read-heavy", "recommended"), ("write-heavy", "read-heavy", "soak"), ("compaction-heavy", "recovery-heavy", "stress"))))
 def profile_names(spark, sf_dir):
-    renamed = F.when(F.col("c_mktsegment") == "BUILDING", "balanced").when(F.col("c_mktsegment") == "MACHINERY", "low-latency").otherwise("unknown")
-    known = F.when(renamed.isin(*FAMILIES["recommended"]), renamed)
-    return V.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), known.alias("profile")).distinct()
+    """Names of each family that stand for a profile; of another family's names, and of others, none does."""
+    named = {"MACHINERY": ["low-latency", "write-heavy", "compaction-heavy"], "FURNITURE": ["read-heavy", "read-heavy", "recovery-heavy"], "BUILDING": ["balanced"] * 3}
+    out = None
+    for i, (family, presets) in enumerate(FAMILIES.items()):
+        text = F.col("c_mktsegment")
+        for segment, names in named.items():
+            text = F.when(F.col("c_mktsegment") == segment, names[i]).otherwise(text)
+        one = V.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.when(text.isin(*presets), text).alias("profile"), F.lit(family).alias("family")).distinct()
+        out = one if out is None else out.union(one)
+    return out
 
 
 def _folder(spark, name: str) -> str:
@@ -548,18 +598,18 @@ def _folder(spark, name: str) -> str:
 
 @query("kv_log_files", CURRENT)
 def log_files(spark, sf_dir):
-    """The log written as binary files, sixteen stores by key, read back and merged."""
-    path = _folder(spark, "logs").removeprefix("file://")
-    files.write_stores(V.changelog(spark, sf_dir).withColumn("store", F.concat(F.lit("log-"), F.pmod(F.xxhash64("key_enc"), F.lit(16)))), path, "log")
+    """The log written as binary files, one for each store by key, read back and merged."""
+    path = _folder(spark, "logs")
+    files.write_stores(V.changelog(spark, sf_dir).withColumn("store", F.concat(F.lit("log-"), F.pmod(F.xxhash64("key_enc"), F.lit(STORES)))), path, "log")
     return shown(state.current_state(files.load(spark, path, "log")))
 
 
 @query("kv_snapshot_files", MERGED)
 def snapshot_files(spark, sf_dir):
     """Base and log compacted to binary snapshots, and read back."""
-    path = _folder(spark, "snapshots").removeprefix("file://")
+    path = _folder(spark, "snapshots")
     merged = state.merged(V.base_snapshot(spark, sf_dir), V.changelog(spark, sf_dir))
-    files.write_stores(merged.withColumn("store", F.concat(F.lit("snapshot-"), F.pmod(F.xxhash64("key_enc"), F.lit(16)))), path, "snapshot")
+    files.write_stores(merged.withColumn("store", F.concat(F.lit("snapshot-"), F.pmod(F.xxhash64("key_enc"), F.lit(STORES)))), path, "snapshot")
     return shown(state.current_state(files.load(spark, path, "snapshot")))
 
 
@@ -569,10 +619,197 @@ def stream_state(spark, sf_dir):
     folder = _folder(spark, "stream")
     V.changelog(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(f"{folder}/in")
     changes = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    streamed = StreamedState(spark, f"{folder}/out")
+    streamed = StreamedState(spark, f"{folder}/out", Options(auto_compact_wal_bytes_threshold=1 << 20))
     query = streamed.start(changes, f"{folder}/checkpoint")
     try:
         query.awaitTermination()
     finally:
         query.stop()
     return shown(streamed.state())
+
+
+MIXED = """s AS (SELECT unnest(range(8)) AS n), c AS (SELECT c_custkey % 8 AS n, count(*) AS entries, sum(strlen(c_name)) AS chars FROM customer GROUP BY 1),
+l AS (SELECT k % 8 AS n, count(*) AS records, count(*) FILTER (op = 1) AS puts, count(*) FILTER (op = 2) AS deletes, sum(CASE WHEN op = 1 THEN strlen(v) ELSE 0 END) AS chars, arg_min(op, seq) AS first_op FROM log GROUP BY 1),
+i AS (SELECT 's' || n AS store, 1::BIGINT AS magic_ok, (CASE WHEN n % 4 = 2 THEN 1 ELSE 2 END)::BIGINT AS version, entries, entries AS int_keys, 0::BIGINT AS string_keys, 0::BIGINT AS binary_keys, 0::BIGINT AS unknown_keys,
+  1::BIGINT AS entry_magic_ok, 0::BIGINT AS truncated, (16 + c.chars + entries * CASE WHEN n % 4 = 2 THEN 12 ELSE 17 END)::BIGINT AS size, 1::BIGINT AS log_exists, 1263949633::BIGINT AS log_magic,
+  (CASE WHEN n % 4 = 1 THEN 1 ELSE 2 END)::BIGINT AS log_version, first_op::BIGINT AS first_type, (l.chars + records * CASE WHEN n % 4 = 1 THEN 20 ELSE 25 END + CASE WHEN n % 4 = 3 THEN 3 ELSE 0 END)::BIGINT AS log_size,
+  records, puts, deletes, records AS log_int_keys, 0::BIGINT AS log_string_keys, 0::BIGINT AS log_binary_keys, 0::BIGINT AS log_unknown_keys, 0::BIGINT AS unknown_types,
+  (n % 4 = 3)::BIGINT AS log_truncated, (n % 4 <> 0)::BIGINT AS rewrite_recommended, ['current_layout', 'migration_required', 'migration_required', 'wal_truncated'][n % 4 + 1] AS reason
+  FROM s JOIN c USING (n) JOIN l USING (n))"""
+
+
+def mixed_stores(spark, sf_dir) -> str:
+    """Eight stores by key, written as files: every fourth has a first-format log, a first-format snapshot, or a torn log."""
+    folder = _folder(spark, "stores")
+    number = F.pmod(int_of(F.col("key_enc")), F.lit(8))
+    named = lambda df: df.withColumn("n", number).withColumn("store", F.concat(F.lit("s"), "n"))
+    files.write_stores(named(V.base_snapshot(spark, sf_dir)).withColumn("version", F.when(F.col("n") % 4 == 2, 1).otherwise(2)), f"{folder}/snapshots", "snapshot")
+    torn = F.when(F.col("n") % 4 == 3, F.lit(b"\xaa\xbb\xcc"))
+    files.write_stores(named(V.changelog(spark, sf_dir)).withColumn("version", F.when(F.col("n") % 4 == 1, 1).otherwise(2)).withColumn("tail", torn), f"{folder}/logs", "log")
+    return folder
+
+
+def inspected(spark, folder: str) -> DataFrame:
+    """The counts of all stores of a folder with the verdict on each."""
+    yes = lambda c: F.col(c) == 1
+    reason = formats.verify_reason(yes("magic_ok"), yes("entry_magic_ok"), yes("truncated"), yes("log_truncated"), yes("rewrite_recommended"))
+    return files.load(spark, folder, "inspect").withColumn("reason", reason).withColumn("status", formats.verify_status(F.col("reason")))
+
+
+@query("kv_inspect", f"WITH {LOG}, {MIXED} SELECT *, CASE WHEN reason = 'current_layout' THEN 0 ELSE 2 END AS status FROM i")
+def inspect(spark, sf_dir):
+    return inspected(spark, mixed_stores(spark, sf_dir))
+
+
+@query(
+    "kv_inspect_lines",
+    f"""WITH {LOG}, {MIXED} SELECT store, 'snapshot_exists=1 snapshot_magic_ok=1 snapshot_version=' || version || ' snapshot_entries=' || entries || ' snapshot_int_keys=' || int_keys ||
+  ' snapshot_string_keys=0 snapshot_binary_keys=0 snapshot_unknown_key_types=0 snapshot_entry_magic_ok=1 snapshot_truncated=0 snapshot_size=' || size || ' wal_exists=1 wal_empty=0 wal_magic=0x4b565741 wal_version=' || log_version ||
+  ' wal_first_type=' || first_type || ' wal_size=' || log_size || ' wal_records=' || records || ' wal_put_records=' || puts || ' wal_delete_records=' || deletes || ' wal_int_keys=' || records ||
+  ' wal_string_keys=0 wal_binary_keys=0 wal_unknown_key_types=0 wal_unknown_record_types=0 wal_truncated=' || log_truncated || ' rewrite_recommended=' || rewrite_recommended || ' verify_reason=' || reason AS line FROM i""",
+)
+def inspect_lines(spark, sf_dir):
+    return inspect(spark, sf_dir).select("store", F.concat(inspect_line(), F.lit(" verify_reason="), "reason").alias("line"))
+
+
+@query("kv_rewrite_format", MERGED)
+def rewrite_format(spark, sf_dir):
+    """Stores of all formats brought to the current one, and read again; all must verify then."""
+    folder = mixed_stores(spark, sf_dir)
+    files.rewritten(spark, folder, f"{folder}/new")
+    bad = F.when(F.col("status") != 0, F.raise_error(F.concat(F.col("store"), F.lit(": "), F.col("reason"))).cast("string"))
+    verified = inspected(spark, f"{folder}/new").select(F.coalesce(bad, F.col("store")).alias("store"))
+    return shown(state.current_state(files.load(spark, f"{folder}/new/snapshots", "snapshot").join(F.broadcast(verified), "store")))  # a row for each store
+
+
+@query("kv_log_kinds", f"WITH {LOG}, {MIXED} SELECT store, records, records AS int_keys, 0::BIGINT AS string_keys, 0::BIGINT AS binary_keys, 0::BIGINT AS unknown_keys, puts, deletes FROM i")
+def log_kinds(spark, sf_dir):
+    """Kinds of keys and types of records in each store's log file, the first format and torn tails included."""
+    log = files.load(spark, f"{mixed_stores(spark, sf_dir)}/logs", "log")
+    kind, op = key_kind(F.col("key_enc")), F.col("op")
+    return log.groupBy("store").agg(F.count("*").alias("records"), *(F.count_if(kind == k).alias(f"{k}_keys") for k in ("int", "string", "binary", "unknown")), F.count_if(op == 1).alias("puts"), F.count_if(op == 2).alias("deletes"))
+
+
+#: When the stores of the replay compact, and how many changes are a batch of theirs.
+REPLAYED, REPLAY_BATCH = Options(auto_compact_wal_bytes_threshold=2000, auto_compact_invalid_wal_ratio_percent=60), 16
+FULL = "({0}.total >= 2000 OR ({0}.total > 0 AND 100 * greatest({0}.total - {0}.live, 0) >= 60 * {0}.total))"
+REPLAY_SQL = f"""{LOG}, q AS (SELECT k % 16 AS store, seq, op, k, v, bytes, (row_number() OVER (PARTITION BY k % 16 ORDER BY seq) - 1) // 16 AS batch FROM log),
+y AS (SELECT store, batch, k, sum(bytes) AS b, arg_max(bytes, seq) AS last FROM q GROUP BY 1, 2, 3),
+z AS (SELECT *, lag(batch) OVER (PARTITION BY store, k ORDER BY batch) AS pb, lag(last) OVER (PARTITION BY store, k ORDER BY batch) AS pl FROM y),
+t AS (SELECT store, batch, CAST(sum(b) AS BIGINT) AS b, CAST(sum(last) AS BIGINT) AS l, list({{'pb': pb, 'pl': pl}}) FILTER (pb IS NOT NULL) AS prev FROM z GROUP BY 1, 2),
+g AS (SELECT store, batch, b AS total, l AS live, -1::BIGINT AS since FROM t WHERE batch = 0
+UNION ALL SELECT t.store, t.batch, CASE WHEN {FULL.format("g")} THEN 0 ELSE g.total END + t.b,
+  CASE WHEN {FULL.format("g")} THEN t.l ELSE g.live + t.l - coalesce(CAST(list_sum([p.pl FOR p IN t.prev IF p.pb > g.since]) AS BIGINT), 0) END,
+  CASE WHEN {FULL.format("g")} THEN g.batch ELSE g.since END
+  FROM g JOIN t ON t.store = g.store AND t.batch = g.batch + 1)"""
+
+
+def store_log(spark, sf_dir) -> DataFrame:
+    """Sixteen stores by key, each with its changes in batches."""
+    log = accounting.sized_log(V.changelog(spark, sf_dir)).withColumn("store", F.pmod(int_of(F.col("key_enc")), F.lit(16)).cast("long"))
+    return numbered(log, "seq", "place", by=["store"]).withColumn("batch", batching.by_count(F.col("place"), REPLAY_BATCH))
+
+
+@query("kv_autocompact_replay", f"WITH RECURSIVE {REPLAY_SQL} SELECT store, batch, total AS total_bytes, live AS live_bytes, {FULL.format('g')} AS compacted FROM g")
+def autocompact_replay(spark, sf_dir):
+    return store.replay(store_log(spark, sf_dir), REPLAYED)
+
+
+@query(
+    "kv_compaction_totals",
+    f"""WITH RECURSIVE {REPLAY_SQL}, e AS (SELECT store, batch, k, arg_max(CASE WHEN op = 1 THEN 17 + strlen(v) ELSE 0 END, seq) AS size FROM q GROUP BY 1, 2, 3),
+f AS (SELECT store, batch, sum(size - coalesce(before, 0)) AS step FROM (SELECT *, lag(size) OVER (PARTITION BY store, k ORDER BY batch) AS before FROM e) GROUP BY 1, 2),
+h AS (SELECT store, batch, 16 + sum(step) OVER (PARTITION BY store ORDER BY batch) AS snapshot_bytes FROM f)
+SELECT store, count(*) FILTER ({FULL.format("g")}) AS compactions, CAST(coalesce(sum(snapshot_bytes) FILTER ({FULL.format("g")}), 0) AS BIGINT) AS snapshot_bytes_written,
+  CAST(coalesce(sum(total) FILTER ({FULL.format("g")}), 0) AS BIGINT) AS log_bytes_reclaimed FROM g JOIN h USING (store, batch) GROUP BY 1""",
+)
+def compaction_totals(spark, sf_dir):
+    log = store_log(spark, sf_dir)
+    return store.compaction_totals(store.replay(log, REPLAYED), store.snapshot_sizes(log))
+
+
+SIGNALS_SQL = f"""{RECENT}, {HISTOGRAM}, {SAMPLES}, d1 AS (SELECT seq, bytes, bytes - coalesce(lag(bytes) OVER (PARTITION BY k ORDER BY seq), 0) AS step FROM log),
+s1 AS (SELECT seq // 64 AS batch, max(seq) AS last_seq, sum(bytes) AS b, sum(step) AS s FROM d1 GROUP BY 1),
+a1 AS (SELECT batch, last_seq, CAST(sum(b) OVER (ORDER BY batch) AS BIGINT) AS t, CAST(sum(s) OVER (ORDER BY batch) AS BIGINT) AS v FROM s1),
+sig AS (SELECT batch, queue_depth AS d, recent_peak_queue_depth AS p, recent_read_ratio_per_1000_ops AS rr, 100 * greatest(t - v, 0) // t AS ob, recent_avg_batch_size AS ab, recent_avg_batch_wal_bytes AS aw,
+  recent_p95_us AS lat, observed_fsync_pressure_per_1000_writes AS fs FROM recent JOIN batches USING (batch) JOIN a1 USING (batch) JOIN p ON p.seq = last_seq)"""
+
+
+def full_signals(spark, sf_dir) -> DataFrame:
+    """The eight signals as they stand after each batch."""
+    last = V.samples(spark, sf_dir).groupBy(F.expr(f"seq div {V.BATCH}").alias("batch")).agg(F.max("seq").alias("seq"))
+    p95 = recent_p95(spark, sf_dir).join(last, "seq").select("batch", F.col("recent_p95_us").alias("observed_p95_us"))
+    return policy_signals(spark, sf_dir).join(p95, "batch")
+
+
+def policies_on_signals(spark, sf_dir, names: dict[str, Options]) -> DataFrame:
+    signals, out = full_signals(spark, sf_dir), None
+    for name, options in names.items():
+        one = policy.with_policy(signals, options.sane()).select(F.lit(name).alias("profile"), "batch", *policy.POLICY)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("kv_policy_on_signals", f"WITH {SIGNALS_SQL} " + " UNION ALL ".join(policy_sql(n, o, "SELECT * FROM sig", "batch") for n, o in POLICIES.items()))
+def policy_on_signals(spark, sf_dir):
+    return policies_on_signals(spark, sf_dir, POLICIES)
+
+
+#: Which flag each counter of batches counts.
+COUNTERS = {
+    "adaptive_batches_completed": "adaptive_batching", "adaptive_flush_batches_completed": "adaptive_flush", "adaptive_latency_target_batches_completed": "latency_target_adjusted",
+    "adaptive_fsync_pressure_batches_completed": "fsync_pressure_adjusted", "adaptive_read_heavy_batches_completed": "read_heavy_adjusted", "adaptive_compaction_pressure_batches_completed": "compaction_pressure_adjusted",
+    "adaptive_wal_growth_batches_completed": "wal_growth_adjusted", "adaptive_objective_short_delay_batches_completed": "objective_short_delay_adjusted", "adaptive_objective_long_delay_batches_completed": "objective_long_delay_adjusted",
+    "adaptive_objective_throughput_batches_completed": "objective_throughput_score > 0",
+}
+LAST_SCORES = ["pressure_score", "cost_score", "throughput_score", "balance_score"]
+ZERO = ["compact_requests", "pending_queue_depth", "manual_compactions_completed", "auto_compactions_completed", "writer_wait_events", "writer_wait_time_us", "total_snapshot_bytes_written", "total_wal_bytes_reclaimed_by_compaction"]
+
+
+def metrics_sql() -> str:
+    of = {n: f"(SELECT count(*) FILTER ({f}) FROM pol)" for n, f in COUNTERS.items()} | dict.fromkeys(ZERO, "0")
+    of |= {f"last_objective_{x}": f"(SELECT arg_max(objective_{x}, batch) FROM pol)" for x in [*LAST_SCORES, "mode"]}
+    of |= {f"{k}_effective_batch_delay_us": f"(SELECT {f} FROM pol)" for k, f in (("last", "arg_max(batch_delay_us, batch)"), ("min", "min(batch_delay_us) FILTER (batch_delay_us > 0)"), ("max", "max(batch_delay_us)"))}
+    of |= {n: f"(SELECT {f} FROM batches)" for n, f in {
+        "read_requests": "CAST(sum(reads) AS BIGINT)", "enqueued_write_requests": "CAST(sum(batch_size) AS BIGINT)", "committed_write_requests": "CAST(sum(batch_size) AS BIGINT)", "committed_write_batches": "count(*)", "wal_fsync_calls": "count(*)",
+        "wal_bytes_written": "CAST(sum(wal_bytes) AS BIGINT)", "wal_bytes_since_compaction": "CAST(sum(wal_bytes) AS BIGINT)", "last_committed_batch_size": "arg_max(batch_size, batch)", "max_committed_batch_size": "max(batch_size)",
+        "last_committed_batch_wal_bytes": "arg_max(wal_bytes, batch)", "max_committed_batch_wal_bytes": "max(wal_bytes)", "max_pending_queue_depth": "max(queue_depth)",
+    }.items()}
+    of |= {"live_wal_bytes_since_compaction": "(SELECT arg_max(v, batch) FROM a1)", "obsolete_wal_bytes_since_compaction": "(SELECT arg_max(greatest(t - v, 0), batch) FROM a1)", "observed_obsolete_wal_ratio_percent": "(SELECT arg_max(100 * greatest(t - v, 0) // t, batch) FROM a1)"}
+    of |= {f"approx_write_latency_p{p}_us": percentile_sql(p).replace(f" AS p{p}_us", "") for p in (50, 95, 99)}
+    of |= {n: f"(SELECT arg_max({n}, batch) FROM recent)" for n in METRICS if n.startswith(("recent_", "observed_fsync")) and n != "recent_observed_write_latency_p95_us"}
+    of |= {"recent_observed_write_latency_p95_us": "(SELECT arg_max(lat, batch) FROM sig)", "write_latency_histogram": "(SELECT list(n ORDER BY bucket) FROM h)"}
+    pol = policy_sql("balanced", RECOMMENDED["balanced"], "SELECT * FROM sig", "batch")
+    return f"WITH {SIGNALS_SQL}, pol AS ({pol}), c AS (SELECT bucket, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS seen, CAST(sum(n) OVER () AS BIGINT) AS total FROM h) SELECT CAST(json_object({', '.join(f"'{n}', {of[n]}" for n in METRICS)}) AS VARCHAR) AS json"
+
+
+@query("kv_metrics_json", metrics_sql())
+def metrics_json(spark, sf_dir):
+    """All metrics of a store that committed the events in batches under the balanced profile, without compactions or waits."""
+    one = F.lit(1).alias("one")
+    pol = policies_on_signals(spark, sf_dir, {"balanced": RECOMMENDED["balanced"]})
+    delay = F.col("batch_delay_us")
+    p = pol.agg(
+        *(F.count_if(F.expr(f)).alias(n) for n, f in COUNTERS.items()), *(F.max_by(f"objective_{x}", "batch").alias(f"last_objective_{x}") for x in [*LAST_SCORES, "mode"]),
+        F.max_by(delay, "batch").alias("last_effective_batch_delay_us"), F.min(F.when(delay > 0, delay)).alias("min_effective_batch_delay_us"), F.max(delay).alias("max_effective_batch_delay_us"), one,
+    )
+    b = V.batches(spark, sf_dir).agg(
+        F.sum("reads").alias("read_requests"), F.sum("batch_size").alias("enqueued_write_requests"), F.sum("batch_size").alias("committed_write_requests"), F.count("*").alias("committed_write_batches"), F.count("*").alias("wal_fsync_calls"),
+        F.sum("wal_bytes").alias("wal_bytes_written"), F.sum("wal_bytes").alias("wal_bytes_since_compaction"), F.max_by("batch_size", "batch").alias("last_committed_batch_size"), F.max("batch_size").alias("max_committed_batch_size"),
+        F.max_by("wal_bytes", "batch").alias("last_committed_batch_wal_bytes"), F.max("wal_bytes").alias("max_committed_batch_wal_bytes"), F.max("queue_depth").alias("max_pending_queue_depth"), one,
+    )
+    a = live_bytes(spark, sf_dir).select(F.col("live_bytes").alias("live_wal_bytes_since_compaction"), F.col("obsolete_bytes").alias("obsolete_wal_bytes_since_compaction"), F.col("obsolete_percent").alias("observed_obsolete_wal_ratio_percent"), one)
+    h = latency_histogram(spark, sf_dir).agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"]).alias("write_latency_histogram"), one)  # twelve buckets
+    t = latency_percentiles(spark, sf_dir).select(*(F.col(f"p{x}_us").alias(f"approx_write_latency_p{x}_us") for x in (50, 95, 99)), one)
+    r = recent_window(spark, sf_dir)
+    r = r.agg(F.max_by(F.struct(*(c for c in r.columns if c != "batch")), "batch").alias("r"), one).select("r.*", "one")
+    s = full_signals(spark, sf_dir).agg(F.max_by("observed_p95_us", "batch").alias("recent_observed_write_latency_p95_us"), one)
+    for x in (a, h, t, r, s, p):
+        b = b.join(x, "one")  # each is a row
+    return to_json(b.withColumns({n: F.lit(0) for n in ZERO}), columns={n: n for n in METRICS})
+
+
+@query("kv_qualification", f"WITH {LOG} SELECT k % 16 AS store, count(*) FILTER (op = 1) AS put_operations, CASE WHEN count(*) FILTER (op = 1) >= 500 THEN 'pass' ELSE 'fail' END AS status FROM log GROUP BY 1")
+def qualification(spark, sf_dir):
+    puts = store_log(spark, sf_dir).groupBy("store").agg(F.count_if(F.col("op") == 1).alias("put_operations"))
+    return qualified(puts, 500)
