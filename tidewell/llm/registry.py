@@ -21,10 +21,7 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable]:
-    import corpus_pipeline
-
-    found = {name: getattr(importlib.import_module(f"tidewell.llm.{module}"), name) for name, module in MODULES.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return {name: getattr(importlib.import_module(f"tidewell.llm.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
