@@ -1,8 +1,11 @@
 """From raw documents to token ids: language, near copies, test items, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four hand on the
-columns of documents; the last adds token_ids. run() writes each result as Parquet to the shared folder and reads
-it again, so that a lost executor costs a part of one stage at most.
+columns of documents, further ones with whatever names included; the last adds token_ids. run() writes each result
+as Parquet to the shared folder and reads it again, so that a lost executor costs a part of one stage at most.
+
+Rows are judged one by one: a missing doc_id, or one that several rows share, neither keeps nor loses a row. An empty
+table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -14,22 +17,36 @@ from tidewell.llm.common import documents, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models don't reject."""
+    """Documents whose language the models don't reject.
+
+    The models are those of all labelled rows. A null text, or one without a letter, goes; without any labelled row
+    all go. Repeated rows stay or go alike.
+    """
     return langid.accept(docs, langid.fit(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on five-word shingles at 0.8."""
+    """One document of each group of near copies, on five-word shingles at 0.8.
+
+    The row of the least doc_id stays, one without doc_id only if its group has no other; of repeated rows one stays.
+    Texts without words, null and empty ones among them, are copies of nothing, so each of them stays.
+    """
     return minhash.keep_one(docs)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item.
+
+    A null or empty text holds none; without benchmark items all documents stay. Repeated rows stay or go alike.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with placeholders for personal data and for terms that disclose it; n_chars follows the text."""
+    """Documents with placeholders for personal data and for terms that disclose it; n_chars follows the text.
+
+    No row goes. A null text stays null, and so does its n_chars; copies of a text count once for the disclosure.
+    """
     from pyspark.sql import functions as F
 
     out = pii.sanitise(docs)
@@ -40,7 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
+    """Documents with their token ids; none for a null or empty text. A column token_ids that is there is replaced."""
     import public_tokenizers
 
     return bpe.encode_column(docs, public_tokenizers.path("word_bpe_49k.json"))
