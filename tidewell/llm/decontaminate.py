@@ -313,4 +313,35 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = search(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("score", F.round("score", 9))  # sums of doubles in whatever order
+
+
+#: Every window against every segment, scored in full, and the shingles of whole texts.
+ORACLE = r"""
+WITH item AS (SELECT row_number() OVER () AS i, item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+cut AS (SELECT i, w, unnest(range((len(w) + 63) // 64)) AS k FROM item),
+seg AS (SELECT i, k, w[len(w) * k // ((len(w) + 63) // 64) + 1 : len(w) * (k + 1) // ((len(w) + 63) // 64)] AS w FROM cut),
+number AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM seg),
+tf AS (SELECT i, k, term, size, count(*) AS tf FROM (SELECT i, k, len(w) AS size, unnest(w) AS term FROM seg) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+weight AS (SELECT i, k, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS x FROM tf JOIN df USING (term), number),
+share AS (SELECT i, k, term, x / sum(x) OVER (PARTITION BY i, k) AS x FROM weight),
+doc AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+unit AS (SELECT d, (generate_subscripts(w, 1) - 1) // 64 AS u, unnest(w) AS term FROM doc),
+query AS (SELECT d, u, term FROM unit UNION SELECT d, u - 1, term FROM unit WHERE u > 0),
+hit AS (SELECT d, i, sum(x) AS score FROM query JOIN share USING (term) GROUP BY d, u, i, k HAVING sum(x) >= 0.7 - 1e-9),
+best AS (SELECT d, i, max(score) AS score FROM hit GROUP BY 1, 2),
+split AS (SELECT i, item_id, regexp_extract(rtrim(text, E' \t\n\x0b\x0c\r'), '(?s)^(.*(?:[.?!]\s+|\n\s*))(\S.*)$', ['q', 'a']) AS x, text FROM item),
+half AS (SELECT i, item_id, unnest([{'part': 0, 't': CASE WHEN x.q = '' THEN text ELSE x.q END}, {'part': 1, 't': CASE WHEN x.q = '' THEN '' ELSE x.a END}], recursive := true) FROM split),
+word AS (SELECT i, item_id, part, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM half),
+part AS (SELECT i, item_id, part, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[j : j + 4], ' ') FOR j IN range(1, len(w) - 3)]) END AS shingles,
+  CASE WHEN len(w) < 10 THEN list_distinct(w) ELSE list_distinct([array_to_string(w[j : j + 4], ' ') FOR j IN range(1, len(w) - 3)]) END AS units FROM word),
+held AS (SELECT b.d, b.i, any_value(p.item_id) AS item_id, any_value(b.score) AS score, p.part, any_value(len(p.shingles)) AS n,
+  any_value(len([s FOR s IN p.shingles IF contains(' ' || array_to_string(doc.w, ' ') || ' ', ' ' || s || ' ')])) AS got,
+  any_value(CASE WHEN len(p.units) = 0 THEN 1.0 ELSE len([s FOR s IN p.units IF contains(' ' || array_to_string(doc.w, ' ') || ' ', ' ' || s || ' ')]) / len(p.units) END) AS alone
+  FROM best b JOIN doc USING (d) JOIN part p USING (i) GROUP BY b.d, b.i, p.part),
+pair AS (SELECT d, i, any_value(item_id) AS item_id, any_value(score) AS score, sum(got) AS got, sum(n) AS n, min(alone) AS alone,
+  max(CASE WHEN part = 0 THEN CASE WHEN n = 0 THEN 1.0 ELSE got / n END END) AS q, max(CASE WHEN part = 1 THEN CASE WHEN n = 0 THEN 1.0 ELSE got / n END END) AS a FROM held GROUP BY 1, 2)
+SELECT doc_id, item_id, round(score, 9) AS score, q::DOUBLE AS question_overlap, a::DOUBLE AS answer_overlap FROM pair JOIN doc USING (d) WHERE got >= 0.8 * n AND alone >= 0.5
+"""
