@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many bytes; one longer text makes a run of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: The most that a size-checked broadcast may hold.
 BROADCAST_BYTES = 32 << 20
 
