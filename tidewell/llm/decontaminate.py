@@ -2,11 +2,11 @@
 
 The index holds, for each term, the test items (in segments of SEGMENT words at most) that have it in ascending
 order, each with its BM25 weight as a share of the segment's own full score, the greatest weight of the list, and
-that of each block of BLOCK postings. Document frequencies and the mean length are those of all test items. Every
+that of each block of BLOCK segments. Document frequencies and the mean length are those of all test items. Every
 window of 2 * SEGMENT words, a new one each SEGMENT words, is a query with a cursor in each of its terms' lists.
 In each turn the cursors are put in the order of their segments; the pivot is the segment at which the lists'
-maxima up to there reach the threshold. If the blocks that would hold the pivot reach it as well, cursors move
-to the pivot and it is scored in full; otherwise they skip to the end of the nearest block. Many windows take their
+maxima up to there reach the threshold. If the maxima of the pivot's block reach it as well, cursors move to the
+pivot and it is scored in full; otherwise they skip the block. Many windows take their
 turns together, in array operations; WINDOWS bounds how many. All segments at or above the threshold are
 retrieved. A retrieved item is then verified on exact five-word shingles of its question and of its answer, the
 last sentence: OVERLAP of all of them, and PART_OVERLAP of each part (of a part with fewer than 2 * WIDTH words,
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import chunks, documents, flat, mix, released, span_hashes, stored
 
-SEGMENT, BLOCK, WIDTH = 64, 8, 5
+SEGMENT, BLOCK, WIDTH = 64, 16, 5
 THRESHOLD, OVERLAP, PART_OVERLAP = 0.7, 0.8, 0.5
 K1, B = 1.2, 0.75
 #: Bytes of test items that one index holds, about; it is what a broadcast carries.
@@ -127,6 +127,10 @@ class Index:
         size = np.array([len(x) for x in bags], np.float64)
         of = np.repeat(np.arange(len(bags)), size.astype(np.int64))
         self.vocabulary, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *bags]), return_inverse=True)
+        # Where the terms of each leading bits begin, so that a look-up is a step or a few.
+        self.shift = np.uint64(64 - min(22, max(8, len(self.vocabulary).bit_length() + 4)))
+        self.near = np.searchsorted(self.vocabulary >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1)).astype(np.int32)
+        self.steps = int(np.diff(self.near).max(initial=0))
         wide = self.number + 1
         self.key, tf = np.unique(term * wide + of, return_counts=True)
         term, self.segment = self.key // wide, self.key % wide
@@ -135,15 +139,10 @@ class Index:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.segment] / mean))
         self.weight = weight / np.bincount(self.segment, weights=weight, minlength=self.number)[self.segment]
         self.first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        count = np.diff(self.first)
         self.most = np.maximum.reduceat(self.weight, self.first[:-1]) if len(term) else np.zeros(0)
-        blocks = -(-count // BLOCK)
-        self.block_first = np.concatenate([[0], np.cumsum(blocks)])
-        nth = np.arange(self.block_first[-1]) - np.repeat(self.block_first[:-1], blocks)
-        begin = np.repeat(self.first[:-1], blocks) + nth * BLOCK
-        last = np.minimum(begin + BLOCK, np.repeat(self.first[1:], blocks)) - 1
+        self.blocks = -(-self.number // BLOCK)
+        self.block_key, begin = np.unique(term * self.blocks + self.segment // BLOCK, return_index=True)
         self.block_most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
-        self.block_last, self.block_key = self.segment[last], self.key[last]
 
     def search(self, h: np.ndarray, doc: np.ndarray, docs: int) -> Iterator[tuple[int, int, float]]:
         """Text index, place in self.items and score of all that reach THRESHOLD, the best of each pair."""
@@ -152,10 +151,9 @@ class Index:
         count = np.bincount(doc, minlength=docs)
         begin = np.cumsum(count) - count
         of_doc = np.concatenate([[0], np.cumsum(-(-count // SEGMENT))])
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        hit = np.flatnonzero(self.vocabulary[at] == h)
+        hit, term = self.found(h)
         unit = of_doc[doc[hit]] + (hit - begin[doc[hit]]) // SEGMENT
-        term, units = at[hit], int(of_doc[-1])
+        units = int(of_doc[-1])
         same = np.ones(units + 1, bool)  # does the next unit belong to the same text
         same[of_doc[1:][of_doc[1:] > 0] - 1] = False
         owner = np.repeat(np.arange(docs), np.diff(of_doc))
@@ -176,6 +174,22 @@ class Index:
             for p, x in zip(pair.tolist(), score[order][first].tolist(), strict=True):
                 yield p // len(self.items), p % len(self.items), x
 
+    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of h that are in the vocabulary, ascending, and where there."""
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.near[slot], self.near[slot + 1]
+        rest = np.flatnonzero(at < end)
+        places, terms = [], []
+        for k in range(self.steps):
+            rest = rest[at[rest] + k < end[rest]]
+            same = self.vocabulary[at[rest] + k] == h[rest]
+            places.append(rest[same])
+            terms.append(at[rest[same]] + k)
+            rest = rest[~same]
+        place, term = np.concatenate(places), np.concatenate(terms).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        return place[order], term[order]
+
     def turns(self, win: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Windows, segments and scores at or above the threshold; one cursor for each window and term."""
         least, wide = THRESHOLD - 1e-9, self.number + 1
@@ -195,25 +209,23 @@ class Index:
             some = short < np.diff(np.append(head, len(win)))
             pivot = segment[np.minimum(head + short, len(win) - 1)]
             live = some[group]
-            before = live & (segment <= pivot[group])
-            own, g = term[before], group[before]
-            block = np.searchsorted(self.block_key, own * wide + pivot[g])
-            inside = block < self.block_first[own + 1]
-            block = np.minimum(block, len(self.block_key) - 1)
-            full = np.bincount(g, weights=np.where(inside, self.block_most[block], 0.0), minlength=len(head)) >= least
-            edge = np.full(len(head), self.number)
-            np.minimum.at(edge, g, np.where(inside, self.block_last[block], self.number))
-            behind = live & ~before
-            np.minimum.at(edge, group[behind], segment[behind] - 1)
-            target = np.where(full, pivot, np.maximum(edge, pivot) + 1)
-            wanted = own * wide + target[g]
+            end = (pivot // BLOCK + 1) * BLOCK  # of the pivot's block
+            near = np.flatnonzero(live & (segment < end[group]))
+            g, own = group[near], term[near]
+            wanted = own * self.blocks + (pivot // BLOCK)[g]
+            block = np.minimum(np.searchsorted(self.block_key, wanted), len(self.block_key) - 1)
+            full = np.bincount(g, weights=np.where(self.block_key[block] == wanted, self.block_most[block], 0.0), minlength=len(head)) >= least
+            moved = ~full[g] | (segment[near] <= pivot[g])
+            near, g, own = near[moved], g[moved], own[moved]
+            wanted = own * wide + np.where(full, pivot, end)[g]
             to = np.searchsorted(self.key, wanted)
-            exact = full[g] & (self.key[np.minimum(to, len(self.key) - 1)] == wanted)
-            score = np.bincount(g, weights=np.where(exact, self.weight[np.minimum(to, len(self.key) - 1)], 0.0), minlength=len(head))
+            last = np.minimum(to, len(self.key) - 1)
+            exact = full[g] & (self.key[last] == wanted)
+            score = np.bincount(g, weights=np.where(exact, self.weight[last], 0.0), minlength=len(head))
             good = np.flatnonzero(full & some & (score >= least))
             if len(good):
                 yield win[head[good]], pivot[good], score[good]
-            at[before] = to + exact
+            at[near] = to + exact
             live &= at < self.first[term + 1]
             win, term, at = win[live], term[live], at[live]
 
