@@ -784,6 +784,32 @@ def test_secrets_false_discoveries(spark):
 
 
 # all of them
+def test_repeated_rows_get_equal_results(spark, tmp_path):
+    from tidewell.llm import bpe, decontaminate, gif, langid, minhash, pii, rollup, secrets, tokenfile, toxicity
+
+    item = "Who wrote it first? Nobody knows who."
+    texts = [f"x {item} y", "plain words of no interest", None, "call +1 (262) 555-3752 token=abcdefghijklmnop"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] * 2 + [(None, texts[0], None), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *(F.lit(1).alias(c) for c in ("score", "h", "media", "spans", "shard", "n_tokens", "base", "more")))
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    path, other = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    model = toxicity.fit(docs.where("doc_id is not null"), spark.createDataFrame([(0, 1), (0, 1), (1, 0), (None, 1)], "doc_id long, toxic int"))
+    found = {
+        "langid": langid.predict(docs, langid.fit(docs)), "minhash": minhash.near_duplicates(docs, 2), "gif": gif.digests(gif.store(docs)), "pii": pii.digests(docs),
+        "bpe": bpe.digests(docs, path), "toxicity": toxicity.scores(docs, model), "secrets": secrets.scan(docs),
+    }
+    for name, df in found.items():
+        got = collections.Counter((r.doc_id, str(r)) for r in df.collect())
+        assert sum(got.values()) == len(rows) and sorted(n for (doc, _), n in got.items() if doc is not None) == [2] * 4, name
+    pairs = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.search(docs, bench).collect())
+    assert pairs == {(0, 1): 4, (None, 1): 2} and decontaminate.clean(docs, bench).count() == len(rows) - 3
+    folder = f"file://{tmp_path}/t"
+    files = tokenfile.read(spark, folder, tokenfile.write(docs, other, folder)).collect()
+    assert len(files) == len(rows) and sorted(r.start for r in files) == [sum(x.n_tokens for x in sorted(files, key=lambda r: r.start)[:k]) for k in range(len(files))]
+    odd = rollup.counted(spark.createDataFrame([("s", None, t) for t in ODD], "source string, lang string, text string")).collect()
+    assert [(r.words, r.no_digits) for r in odd[:6]] == [(0, 0)] * 4 + [(1, 1), (2, 2)]
+
+
 def test_very_long_text(spark):
     from tidewell.llm import bpe, decontaminate, gif, langid, minhash, pii, secrets, tokenfile, toxicity
 
