@@ -596,6 +596,13 @@ def _folder(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for plans that use it several times."""
+    path = _folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query("kv_log_files", CURRENT)
 def log_files(spark, sf_dir):
     """The log written as binary files, one for each store by key, read back and merged."""
@@ -739,11 +746,11 @@ def full_signals(spark, sf_dir) -> DataFrame:
     """The eight signals as they stand after each batch."""
     last = V.samples(spark, sf_dir).groupBy(F.expr(f"seq div {V.BATCH}").alias("batch")).agg(F.max("seq").alias("seq"))
     p95 = recent_p95(spark, sf_dir).join(last, "seq").select("batch", F.col("recent_p95_us").alias("observed_p95_us"))
-    return policy_signals(spark, sf_dir).join(p95, "batch")
+    return kept(policy_signals(spark, sf_dir).join(p95, "batch"), "signals")
 
 
-def policies_on_signals(spark, sf_dir, names: dict[str, Options]) -> DataFrame:
-    signals, out = full_signals(spark, sf_dir), None
+def policies_on_signals(signals: DataFrame, names: dict[str, Options]) -> DataFrame:
+    out = None
     for name, options in names.items():
         one = policy.with_policy(signals, options.sane()).select(F.lit(name).alias("profile"), "batch", *policy.POLICY)
         out = one if out is None else out.unionByName(one)
@@ -752,7 +759,7 @@ def policies_on_signals(spark, sf_dir, names: dict[str, Options]) -> DataFrame:
 
 @query("kv_policy_on_signals", f"WITH {SIGNALS_SQL} " + " UNION ALL ".join(policy_sql(n, o, "SELECT * FROM sig", "batch") for n, o in POLICIES.items()))
 def policy_on_signals(spark, sf_dir):
-    return policies_on_signals(spark, sf_dir, POLICIES)
+    return policies_on_signals(full_signals(spark, sf_dir), POLICIES)
 
 
 #: Which flag each counter of batches counts.
@@ -787,7 +794,8 @@ def metrics_sql() -> str:
 def metrics_json(spark, sf_dir):
     """All metrics of a store that committed the events in batches under the balanced profile, without compactions or waits."""
     one = F.lit(1).alias("one")
-    pol = policies_on_signals(spark, sf_dir, {"balanced": RECOMMENDED["balanced"]})
+    signals = full_signals(spark, sf_dir)
+    pol = policies_on_signals(signals, {"balanced": RECOMMENDED["balanced"]})
     delay = F.col("batch_delay_us")
     p = pol.agg(
         *(F.count_if(F.expr(f)).alias(n) for n, f in COUNTERS.items()), *(F.max_by(f"objective_{x}", "batch").alias(f"last_objective_{x}") for x in [*LAST_SCORES, "mode"]),
@@ -803,7 +811,7 @@ def metrics_json(spark, sf_dir):
     t = latency_percentiles(spark, sf_dir).select(*(F.col(f"p{x}_us").alias(f"approx_write_latency_p{x}_us") for x in (50, 95, 99)), one)
     r = recent_window(spark, sf_dir)
     r = r.agg(F.max_by(F.struct(*(c for c in r.columns if c != "batch")), "batch").alias("r"), one).select("r.*", "one")
-    s = full_signals(spark, sf_dir).agg(F.max_by("observed_p95_us", "batch").alias("recent_observed_write_latency_p95_us"), one)
+    s = signals.agg(F.max_by("observed_p95_us", "batch").alias("recent_observed_write_latency_p95_us"), one)
     for x in (a, h, t, r, s, p):
         b = b.join(x, "one")  # each is a row
     return to_json(b.withColumns({n: F.lit(0) for n in ZERO}), columns={n: n for n in METRICS})

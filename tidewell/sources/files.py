@@ -313,9 +313,12 @@ def write_stores(df: DataFrame, path: str, kind: str) -> DataFrame:
         rows = rows.repartition("store").sortWithinPartitions(*order)
     else:
         op = F.col("op")
-        rows = df.select("store", "seq", "sub_seq", number.alias("version"), tail.alias("tail"), op, key, value, record_checksum(op, key, value).alias("new"), old_record_checksum(op, int_of(key), value).alias("old"))
-        rows = rows.select("store", "seq", "sub_seq", "version", "tail", "op", "key_enc", "value", F.when(F.col("version") == 1, F.col("old")).otherwise(F.col("new")).alias("checksum"))
-        rows = rows.repartition("store").sortWithinPartitions("store", "seq", "sub_seq").drop("seq", "sub_seq")
+        current, first = record_checksum(op, key, value), old_record_checksum(op, int_of(key), value)
+        sums = {"_new": current, "_old": first} if "version" in df.columns else {"checksum": current}
+        rows = df.select("store", "seq", "sub_seq", number.alias("version"), tail.alias("tail"), op, key, value, *(c.alias(n) for n, c in sums.items()))
+        if "_old" in sums:
+            rows = rows.withColumn("checksum", F.when(F.col("version") == 1, F.col("_old")).otherwise(F.col("_new")))
+        rows = rows.repartition("store").sortWithinPartitions("store", "seq", "sub_seq").select("store", "version", "tail", "op", "key_enc", "value", "checksum")
     written = rows.mapInArrow(partial(_write_partition, path=path, kind=kind), "store string, bytes long").collect()  # a row for each file
     return df.sparkSession.createDataFrame([(r.store, r.bytes) for r in written], "store string, bytes long")
 
