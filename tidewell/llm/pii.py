@@ -32,8 +32,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SHARE, PRIOR = 0.9, 1.0
 #: Pairs of a term and an entity that one batch hands to Spark.
 PAIRS_A_BATCH = 1 << 17
-#: The most common words that are left out before pairs are formed; of further ones the pairs are dropped later.
-COMMON_TERMS = 1 << 19
+#: Counts of terms, and of entities, that rule out pairs before they are formed; of further ones the pairs are dropped later.
+KNOWN = 1 << 19
 #: Term hashes that one pass over the documents carries; further ones take further passes.
 TERMS_A_PASS = 1 << 21
 
@@ -95,52 +95,113 @@ def entity(text: str, kind: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def with_entities(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[int], bytes]]:
-    """Distinct words outside base spans, entities, and all words in order, of each text that has an entity."""
-    found = [(t, s) for x in b.column("text").to_pylist() if (s := base_spans(t := x or ""))]
-    h, doc, starts, ends = letter_runs([t for t, _ in found])
-    first = np.searchsorted(doc, np.arange(len(found) + 1))
-    for k, (text, spans) in enumerate(found):
-        lo, hi = first[k], first[k + 1]
-        inside = np.zeros(hi - lo, bool)
-        for _, a, z in spans:
-            inside[np.searchsorted(ends[lo:hi], a, side="right") : np.searchsorted(starts[lo:hi], z)] = True
-        yield np.unique(h[lo:hi][~inside]).view(np.int64), sorted({entity(text[a:z], kind) for kind, a, z in spans}), h[lo:hi].tobytes()
+def with_entities(docs: DataFrame) -> DataFrame:
+    """words (distinct terms outside base spans), entities, and place (that of all words in order) of each text that has an entity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            found = [(t, s) for x in b.column("text").to_pylist() if (s := base_spans(t := x or ""))]
+            h, doc, starts, ends = letter_runs([t for t, _ in found])
+            first = np.searchsorted(doc, np.arange(len(found) + 1))
+            words, entities, places = [], [], []
+            for k, (text, spans) in enumerate(found):
+                lo, hi = first[k], first[k + 1]
+                inside = np.zeros(hi - lo, bool)
+                for _, a, z in spans:
+                    inside[np.searchsorted(ends[lo:hi], a, side="right") : np.searchsorted(starts[lo:hi], z)] = True
+                words.append(np.unique(h[lo:hi][~inside]).view(np.int64))
+                entities.append(np.unique(np.array([entity(text[a:z], kind) for kind, a, z in spans], np.int64)))
+                places.append(int.from_bytes(hashlib.blake2b(h[lo:hi].tobytes(), digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([listed(words), listed(entities), pa.array(places, pa.int64())], ["words", "entities", "place"])
+
+    return docs.select("text").mapInArrow(released(run), "words array<long>, entities array<long>, place long")
+
+
+def listed(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def lists(column: pa.Array) -> Iterator[np.ndarray]:
+    for x in column:
+        yield x.values.to_numpy()
 
-def occurring(docs: DataFrame) -> DataFrame:
-    """term or entity, n: in how many documents that have any entity it occurs."""
+
+def occurring(found: DataFrame) -> DataFrame:
+    """term or entity, n: in how many documents that have any entity it occurs; found: what with_entities() gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            found = list(with_entities(b))
-            for k, lists in enumerate(([w for w, _, _ in found], [np.array(e, np.int64) for _, e, _ in found])):
-                key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_counts=True)
+        for b in batches:
+            for k, name in enumerate(("words", "entities")):
+                key, n = np.unique(b.column(name).flatten().to_numpy(), return_counts=True)
                 cols = [pa.array(key), pa.nulls(len(key), pa.int64())]
                 yield pa.RecordBatch.from_arrays([cols[k], cols[1 - k], pa.array(n.astype(np.int64))], ["term", "entity", "n"])
 
-    return docs.select("text").mapInArrow(released(run), "term long, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+    return found.mapInArrow(released(run), "term long, entity long, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
 
 
-def together(docs: DataFrame, without: np.ndarray) -> DataFrame:
-    """term, entity, place: each distinct word, but those of `without`, and entity of a document.
+class Bounds:
+    """Which pairs can't reach the threshold whatever else is counted: terms in more documents than an entity allows.
 
-    place stands for the whole sequence of its words.
+    The counts of the most common terms and entities are held, KNOWN of each at most; a term that isn't held counts
+    as in one document, an entity that isn't as in so many as the rarest that is.
     """
-    held = docs.sparkSession.sparkContext.broadcast(without)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            for words, entities, whole in with_entities(b):
-                words = words[~in_sorted(held.value, words)]
-                place = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
-                step = max(1, PAIRS_A_BATCH // max(1, len(words)))
-                for i in range(0, len(entities) if len(words) else 0, step):
-                    part = np.array(entities[i : i + step], np.int64)
-                    cols = np.tile(words, len(part)), np.repeat(part, len(words)), np.full(len(words) * len(part), place, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["term", "entity", "place"])
+    def __init__(self, seen: DataFrame, documents: int, share: float, prior: float) -> None:
+        self.documents, self.share, self.prior = documents, share, prior
+        self.terms, self.entities = (self.held(seen, c) for c in ("term", "entity"))
+        self.rest = int(self.entities[1].min()) if len(self.entities[0]) == KNOWN else 1
+
+    @staticmethod
+    def held(seen: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+        got = seen.where(f"{column} is not null and n > 1").orderBy(F.desc("n"), column).limit(KNOWN).select(column, "n").toArrow()
+        key, n = got[column].to_numpy(), got["n"].to_numpy()
+        order = np.argsort(key)
+        return key[order], n[order]
+
+    @staticmethod
+    def counts(known: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, missing: int) -> np.ndarray:
+        if not len(known[0]):
+            return np.full(len(wanted), missing)
+        at = np.minimum(np.searchsorted(known[0], wanted), len(known[0]) - 1)
+        return np.where(known[0][at] == wanted, known[1][at], missing)
+
+    def most(self, entities: np.ndarray) -> np.ndarray:
+        """The most documents that a term over the threshold for each entity may be in, had all of the entity's the term."""
+        has = self.counts(self.entities, entities, self.rest).astype(float)
+        p = has / max(1, self.documents)
+        least = (has + self.prior) * p ** (1 - self.share) - self.prior * p
+        return np.where(p < 1, has * has / np.maximum(least, 1e-300), 0.0) * (1 + 1e-9)
+
+
+def together(found: DataFrame, bounds: Bounds) -> DataFrame:
+    """term, entity, place: each pair of a document's distinct words and entities, but those that bounds rule out.
+
+    place stands for the whole sequence of the document's words.
+    """
+    held = found.sparkSession.sparkContext.broadcast(bounds)
 
-    return docs.select("text").mapInArrow(released(run), "term long, entity long, place long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            size = 0
+            for words, entities, place in zip(lists(b.column("words")), lists(b.column("entities")), b.column("place").to_pylist(), strict=True):
+                n = held.value.counts(held.value.terms, words, 1)
+                order = np.argsort(n, kind="stable")
+                for one, some in zip(entities.tolist(), np.searchsorted(n[order], held.value.most(entities), side="right").tolist(), strict=True):
+                    rows.append((words[order[:some]], one, place))
+                    size += some
+                    if size >= PAIRS_A_BATCH:
+                        yield pairs(rows)
+                        rows, size = [], 0
+            yield pairs(rows)
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+        number = [len(w) for w, _, _ in rows]
+        cols = np.concatenate([np.zeros(0, np.int64), *(w for w, _, _ in rows)]), *(np.repeat(np.array([r[k] for r in rows], np.int64), number) for k in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["term", "entity", "place"])
+
+    return found.mapInArrow(released(run), "term long, entity long, place long")
 
 
 def blocks(terms: DataFrame) -> Iterator[np.ndarray]:
@@ -181,16 +242,14 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, share: float = SHARE, prior: float = PRIOR) -> DataFrame:
     """The terms over the disclosure threshold."""
-    seen = stored(occurring(docs), "seen")
+    found = stored(with_entities(docs), "found")
+    seen, documents = stored(occurring(found), "seen"), docs.count()
     beside, known = seen.where("term is not null").select("term", F.col("n").alias("docs")), seen.where("entity is not null").select("entity", F.col("n").alias("has"))
-    p = F.col("has") / F.lit(docs.count())
+    p = F.col("has") / F.lit(documents)
     least = F.pow(p, F.lit(1 - share))  # told >= share as a bound of p(e|t)
     given = (F.col("places") * F.least(F.lit(1.0), F.col("both") / F.col("docs")) + prior * p) / (F.col("places") + prior)
     over = (p < 1) & (given >= least)
-    # Words of more documents than any entity allows, even if all its documents had them, are left out early.
-    most = known.where(p < 1).agg(F.max(F.col("has") * F.col("has") / ((F.col("has") + prior) * least - prior * p))).first()[0] or 0.0
-    common = beside.where(F.col("docs") > most * (1 + 1e-9)).orderBy(F.desc("docs"), "term").limit(COMMON_TERMS).select("term").toArrow()["term"].to_numpy()
-    pairs = together(docs, np.sort(common)).groupBy("term", "entity", "place").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.count("*").alias("places"), F.sum("n").alias("both"))
+    pairs = together(found, Bounds(seen, documents, share, prior)).groupBy("term", "entity", "place").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.count("*").alias("places"), F.sum("n").alias("both"))
     # Terms are in no fewer documents than those that have an entity: what falls short there falls short of the whole.
     pairs = stored(pairs.join(beside, "term").join(sized(known, 16), "entity").where(over).drop("docs"), "pairs")
     if pairs.isEmpty():
