@@ -35,39 +35,48 @@ ENCODINGS = {"hex": (16, 0.100, 0.0125, 0.20), "base32": (32, 0.066, 0.0055, 0.1
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 
 
-def found(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Array of (start, kind, end, match) of all matches, those of `keep`(index) only.
+def found(t: DataFrame, patterns: list[str], keep: dict) -> DataFrame:
+    """t with `spans0`, `spans1`, ...: arrays of (start, kind, end, match) of all matches of each pattern in column t.
 
-    Starts are running sums of the lengths between and of the matches, added up in groups of GROUP and then over the
-    groups, as an array that grows by one element is copied each time.
+    keep: kind to a condition on a match's index. Starts are running sums of the lengths between and of the matches,
+    added up in groups of GROUP and then over the groups, as an array that grows by one element is copied each time.
+    Each step is a column of its own that the next one uses twice, so that none is computed again for each element.
     """
-    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), whole.alias("hit"), F.sequence(F.lit(0), F.size(gaps) - 1).alias("i"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
+    kinds, begin = range(len(patterns)), F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    t = t.withColumns({f"gap{k}": F.transform(F.split("t", p, -1), lambda g: F.length(g)) for k, p in enumerate(patterns)} | {f"hit{k}": F.regexp_extract_all("t", F.lit(p), F.lit(0)) for k, p in enumerate(patterns)})
+    step = lambda k: F.arrays_zip(F.col(f"gap{k}").alias("gap"), F.col(f"hit{k}").alias("hit"), F.sequence(F.lit(0), F.size(f"gap{k}") - 1).alias("i"))
+    t = t.withColumns({f"step{k}": step(k) for k in kinds})
 
-    def one(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("match"))
-        wanted = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["i"])
-        return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def one(k: int):
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+            span = F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), x["hit"].alias("match"))
+            wanted = x["hit"].isNotNull() & keep[k](x["i"]) if k in keep else x["hit"].isNotNull()
+            return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    number = F.ceil(F.size(gaps) / GROUP).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), number - 1), lambda k: F.aggregate(F.slice(step, k * GROUP + 1, F.lit(GROUP)), begin, one))
+        return add
+
+    number = lambda k: F.ceil(F.size(f"step{k}") / GROUP).cast("int")
+    groups = lambda k: F.transform(F.sequence(F.lit(0), number(k) - 1), lambda i: F.aggregate(F.slice(f"step{k}", i * GROUP + 1, F.lit(GROUP)), begin, one(k)))
+    t = t.withColumns({f"groups{k}": groups(k) for k in kinds})
 
     def place(acc: Column, g: Column) -> Column:
         return F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
 
-    bases = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases")), place, lambda acc: acc["bases"])
+    bases = lambda k: F.aggregate(f"groups{k}", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases")), place, lambda acc: acc["bases"])
     moved = lambda s, base: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end"), s["match"].alias("match"))
-    many = F.flatten(F.zip_with(groups, bases, lambda g, base: F.transform(g["spans"], lambda s: moved(s, base))))
-    few = F.aggregate(step, begin, one, lambda acc: acc["spans"])
-    return F.when(F.size(gaps) < 2, empty).when(F.size(gaps) <= GROUP, few).otherwise(many)
+    spans = lambda k: F.flatten(F.zip_with(f"groups{k}", bases(k), lambda g, base: F.transform(g["spans"], lambda s: moved(s, base))))
+    return t.withColumns({f"spans{k}": spans(k) for k in kinds})
+
+
+def upper_tail(x: Column) -> Column:
+    """P(N > x) of a standard normal, to 1e-7 in absolute and well in relative terms for x > 0."""
+    return let(x, _upper_tail)
 
 
-def upper_tail(z: Column) -> Column:
-    """P(N > z) of a standard normal, to 1e-7 in absolute and well in relative terms for z > 0."""
+def _upper_tail(z: Column) -> Column:
     a = F.abs(z)
     t = 1 / (1 + 0.2316419 * a)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
@@ -75,40 +84,52 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def battery(match: Column) -> Column:
-    """The p-value of one candidate: small where it looks drawn evenly from its alphabet."""
-    body = F.regexp_replace(match, "=+$", "")
-    n = F.length(body).cast("double")
-    kind = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    size, ic, third, change = (F.element_at(F.create_map(*[F.lit(y) for k, v in ENCODINGS.items() for y in (k, float(v[i]))]), kind) for i in range(4))
-    counts = F.transform(F.array_distinct(F.split(body, "")), lambda c: (n - F.length(F.replace(body, c, F.lit("")))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
-    chi = size / n * squares - n
-    # Expected and spread of the same statistic for words: sum of squares = n + n (n - 1) ic.
-    usual = size * (1 + (n - 1) * ic) - n
-    spread = size * (n - 1) * F.sqrt(4 * (third - ic * ic) / n + 2 * (ic - ic * ic) / (n * (n - 1)))
-    even = (usual - chi) / spread
-    classes = F.translate(body, LETTERS, "A" * 26 + "a" * 26 + "0" * 10 + "+" * 5)
-    # A single mark between letters, and a capital that begins a word, go with the word, as in names.
-    joined = F.regexp_replace(F.regexp_replace(classes, r"(?<=[Aa0])\+(?=[Aa0])", ""), "(^|[^A])A(?=a)", "$1a")
-    runs = F.length(F.regexp_replace(joined, r"(.)\1*", "$1")) - 1
-    mixed = (runs - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
-    value = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(LETTERS), c).cast("double"))
-    mean = F.aggregate(value, F.lit(0.0), lambda s, v: s + v) / n
-    off = F.transform(value, lambda v: v - mean)
-    around = F.aggregate(off, F.lit(0.0), lambda s, v: s + v * v)
-    lagged = F.aggregate(F.zip_with(F.slice(off, 2, 1 << 30), off, lambda a, b: F.coalesce(a, F.lit(0.0)) * b), F.lit(0.0), lambda s, v: s + v)
-    serial = F.when(around > 0, F.abs(lagged / around)).otherwise(1.0) * F.sqrt(n)
-    return upper_tail((even + mixed) / 2**0.5 - F.greatest(serial - 2.5, F.lit(0.0)))
+    """The p-value of one candidate: small where it looks drawn evenly from its alphabet. One pass over its letters for each test."""
+    number = lambda x: F.lit(0.0).alias(x)
+    start = F.struct(F.lit(None).cast("double").alias("first"), number("last"), number("sum"), number("square"), number("lagged"))
+    value = lambda body: F.transform(F.split(body, ""), lambda c: F.instr(F.lit(LETTERS), c).cast("double"))
+
+    def add(a: Column, v: Column) -> Column:
+        before = F.when(a["first"].isNull(), 0.0).otherwise(a["last"])
+        return F.struct(F.coalesce(a["first"], v).alias("first"), v.alias("last"), (a["sum"] + v).alias("sum"), (a["square"] + v * v).alias("square"), (a["lagged"] + before * v).alias("lagged"))
+
+    def tested(body: Column, n: Column, kind: Column, sums: Column) -> Column:
+        size, ic, third, change = (F.element_at(F.create_map(*[F.lit(y) for k, v in ENCODINGS.items() for y in (k, float(v[i]))]), kind) for i in range(4))
+        counts = F.transform(F.array_distinct(F.split(body, "")), lambda c: (n - F.length(F.replace(body, c, F.lit("")))))
+        squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
+        chi = size / n * squares - n
+        # Expected and spread of the same statistic for words: sum of squares = n + n (n - 1) ic.
+        usual = size * (1 + (n - 1) * ic) - n
+        spread = size * (n - 1) * F.sqrt(4 * (third - ic * ic) / n + 2 * (ic - ic * ic) / (n * (n - 1)))
+        even = (usual - chi) / spread
+        classes = F.translate(body, LETTERS, "A" * 26 + "a" * 26 + "0" * 10 + "+" * 5)
+        # A single mark between letters, and a capital that begins a word, go with the word, as in names.
+        joined = F.regexp_replace(F.regexp_replace(classes, r"(?<=[Aa0])\+(?=[Aa0])", ""), "(^|[^A])A(?=a)", "$1a")
+        runs = F.length(F.regexp_replace(joined, r"(.)\1*", "$1")) - 1
+        mixed = (runs - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
+        mean = sums["sum"] / n
+        around = sums["square"] - n * mean * mean
+        lagged = sums["lagged"] - mean * (2 * sums["sum"] - sums["first"] - sums["last"]) + (n - 1) * mean * mean
+        serial = F.when(around > 1e-9 * n, F.abs(lagged / around)).otherwise(1.0) * F.sqrt(n)
+        return upper_tail((even + mixed) / 2**0.5 - F.greatest(serial - 2.5, F.lit(0.0)))
+
+    kind = lambda body: F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+    parts = lambda body: F.struct(body.alias("body"), F.length(body).cast("double").alias("n"), kind(body).alias("kind"), F.aggregate(value(body), start, add).alias("sums"))
+    return let(F.regexp_replace(match, "=+$", ""), lambda body: let(parts(body), lambda x: tested(x["body"], x["n"], x["kind"], x["sums"])))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, base and candidates (with length and p-value) of every row."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     value = F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda g: F.length(g) >= 12)
-    t = t.withColumn("long", value)
-    t = t.withColumn("base", F.concat(found(F.col("t"), ASSIGN, 0, lambda i: F.get("long", i)), found(F.col("t"), ACCESS, 1), found(F.col("t"), HEX, 2)))
-    t = t.withColumn("more", found(F.col("t"), CANDIDATE, 3)).drop("t", "long")
+    t = found(t.withColumn("long", value), [ASSIGN, ACCESS, HEX, CANDIDATE], {0: lambda i: F.get("long", i)})
+    t = t.select("doc_id", F.concat("spans0", "spans1", "spans2").alias("base"), F.col("spans3").alias("more"))
     free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
     span = lambda x: (x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     weighed = F.transform(free, lambda c: F.struct(*span(c), F.least(c["end"] - c["start"], F.lit(LONGEST)).cast("double").alias("weight"), battery(c["match"]).alias("p")))
