@@ -104,14 +104,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return picked.mapInArrow(released(run), "fp long, shingles array<long>")
 
 
-def by_key(rows: DataFrame, few: DataFrame, number: int) -> DataFrame:
+def by_key(rows: DataFrame, few: DataFrame, number: int, key: str = "key") -> DataFrame:
     """rows joined by key with few, which has one row for each key and counts its `members` among rows.
 
-    A node has BANDS keys, so keys of more than number / HOT members are BANDS * HOT at most: these are broadcast,
-    and all other keys are small beside a partition.
+    A node has one root and BANDS keys, so those of more than number / HOT members are BANDS * HOT at most: these are
+    broadcast, and all others are small beside a partition.
     """
     hot = F.broadcast(few.where(F.col("members") * HOT > number))
-    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(few.where(F.col("members") * HOT <= number), "key"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(few.where(F.col("members") * HOT <= number), key))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,9 +220,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         seen = seen.union(asked.select("a", "b")).union(asked.select("b", "a"))
         moved = sized(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), 16)
         roots = keep(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(merged), "roots")
-    named = nodes.select("fp", "rep").join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(least, "root").select("fp", "component_id"), "named")
+    named = keep(nodes.select("fp", "rep").join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = keep(named.groupBy("root").agg(F.count("*").alias("members"), F.min("rep").alias("component_id")), "least")
+    named = stored(by_key(named, least, number, "root").select("fp", "component_id"), "named")
     discard(docs.sparkSession, paths)
     out = sigs.select("doc_id", "n", "fp").join(named, "fp", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
