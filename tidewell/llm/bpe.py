@@ -155,8 +155,8 @@ class Cutter:
 class Words:
     """A cache of encoded words, by their bytes: sorted numbers for those of 7 at most, a dict for the others."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cutter: Cutter) -> None:
-        self.encode, self.cutter = encode, cutter
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], cutter: Cutter, most: int = CACHE_BYTES) -> None:
+        self.encode, self.cutter, self.most = encode, cutter, most
         self.clear()
 
     def clear(self) -> None:
@@ -178,7 +178,7 @@ class Words:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each."""
-        if self.bytes > CACHE_BYTES:
+        if self.bytes > self.most:
             self.clear()
         raw, doc, starts, ends = self.cutter.cut(texts)
         length = ends - starts

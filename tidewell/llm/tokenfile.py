@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.bpe import Cutter, Encoder, Words, byte_letters
+from tidewell.llm.bpe import CACHE_BYTES, Cutter, Encoder, Words, byte_letters
 from tidewell.llm.common import chunks, documents, once, released, sized, stored, work_dir
 
 LENGTH, ROWS, END_ID = 1024, 256, 0
@@ -49,7 +49,7 @@ def library_encoder(path: str) -> Encoder:
             return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
 
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        out = Encoder(Words(encode, Cutter(library.pre_tokenizer.pre_tokenize_str, attach_space=True)), special, lambda t: t)
+        out = Encoder(Words(encode, Cutter(library.pre_tokenizer.pre_tokenize_str, attach_space=True), 2 * CACHE_BYTES), special, lambda t: t)
         out.vocabulary = library.get_vocab_size()
         return out
 
