@@ -46,7 +46,7 @@ def found(t: DataFrame, patterns: list[str], keep: dict) -> DataFrame:
     kinds, begin = range(len(patterns)), F.struct(F.lit(0).alias("at"), empty.alias("spans"))
     t = t.withColumns({f"gap{k}": F.transform(F.split("t", p, -1), lambda g: F.length(g)) for k, p in enumerate(patterns)} | {f"hit{k}": F.regexp_extract_all("t", F.lit(p), F.lit(0)) for k, p in enumerate(patterns)})
     step = lambda k: F.arrays_zip(F.col(f"gap{k}").alias("gap"), F.col(f"hit{k}").alias("hit"), F.sequence(F.lit(0), F.size(f"gap{k}") - 1).alias("i"))
-    t = t.withColumns({f"step{k}": step(k) for k in kinds})
+    t = t.withColumns({f"step{k}": F.when(F.size(f"gap{k}") > 1, step(k)) for k in kinds})  # null without a match
 
     def one(k: int):
         def add(acc: Column, x: Column) -> Column:
@@ -60,7 +60,7 @@ def found(t: DataFrame, patterns: list[str], keep: dict) -> DataFrame:
 
     number = lambda k: F.ceil(F.size(f"step{k}") / GROUP).cast("int")
     groups = lambda k: F.transform(F.sequence(F.lit(0), number(k) - 1), lambda i: F.aggregate(F.slice(f"step{k}", i * GROUP + 1, F.lit(GROUP)), begin, one(k)))
-    t = t.withColumns({f"groups{k}": groups(k) for k in kinds})
+    t = t.withColumns({f"groups{k}": F.when(F.col(f"step{k}").isNotNull(), groups(k)) for k in kinds})
 
     def place(acc: Column, g: Column) -> Column:
         return F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
@@ -68,7 +68,7 @@ def found(t: DataFrame, patterns: list[str], keep: dict) -> DataFrame:
     bases = lambda k: F.aggregate(f"groups{k}", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases")), place, lambda acc: acc["bases"])
     moved = lambda s, base: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end"), s["match"].alias("match"))
     spans = lambda k: F.flatten(F.zip_with(f"groups{k}", bases(k), lambda g, base: F.transform(g["spans"], lambda s: moved(s, base))))
-    return t.withColumns({f"spans{k}": spans(k) for k in kinds})
+    return t.withColumns({f"spans{k}": F.when(F.col(f"groups{k}").isNotNull(), spans(k)).otherwise(empty) for k in kinds})
 
 
 def upper_tail(x: Column) -> Column:
