@@ -844,6 +844,31 @@ def test_pipeline_stages_keep_columns_and_take_empty_tables(spark):
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
 
 
+def test_pipeline_sends_texts_in_small_batches(spark):
+    """Every stage, called alone, and without raising what the session asks for."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tidewell.llm.common import BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    def sent(session):
+        texts = session.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4096).alias("text"))
+        rows = texts.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in rows) == 3000
+        return max(r.bytes for r in rows)
+
+    for _, stage in corpus_pipeline.STAGES:
+        session = spark.newSession()
+        stage(session, empty(session), SF)
+        assert sent(session) < 1.1 * BATCH_BYTES
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256k")
+    corpus_pipeline.tokens(session, empty(session), SF)
+    assert sent(session) < 300_000
+
+
 def test_pipeline_stages_one_by_one(spark):
     """Each stage's rows against brute force on all that the one before kept, with rows of no and of shared doc_id."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in runs of about this many bytes; one longer text makes a run of its own.
 CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to a Python worker; an executor holds each several times over.
+BATCH_BYTES = 2 * CHUNK_BYTES
 #: The most that a size-checked broadcast may hold.
 BROADCAST_BYTES = 32 << 20
 
@@ -91,6 +93,17 @@ def released(run: Callable) -> Callable:
     return whole
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches take about BATCH_BYTES at most, or less if it asks for less.
+
+    Spark's 10,000 rows or 64 MB are all texts of a task: in the JVM's vectors, in the buffer that they are sent from
+    and in the worker, whatever the runs in which texts are worked on.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
